@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import act_key, chars, label_key, pub_no, source_key, split_key
-from tagloom.llm import chunking, grouped_split, leakage, mixing, neardup, overlap, packing, sampling
+from tagloom.llm import abuse, chunking, grouped_split, leakage, mixing, neardup, overlap, packing, sampling
 from tagloom.sources.tables import table
 
 CELL = ["act", "entity_type", "is_negative"]
@@ -219,8 +219,35 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return _mixed_tokens(spark, d)[1]
 
 
+# 9 -------------------------------------------------------------------------------------------------------------------
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.score_documents(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_scores(spark, d).where("score >= 1").select("doc_id")
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").withColumn("source", source_key(F.col("source")))
+    return abuse.rates(abuse.score_documents(docs, "doc_id", "text", ["source"]), "source")
+
+
+def p9_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by reviewers' verdict and the grammar's: a document's verdict is that of most of its reviews."""
+    said = table(spark, d, "review_labels").where(F.col("abusive").isNotNull()).groupBy("doc_id").agg(F.avg("abusive").alias("a"))
+    return (
+        p9_scores(spark, d).join(said.where("a <> 0.5"), "doc_id")
+        .groupBy((F.col("a") > 0.5).cast("int").alias("reviewed"), (F.col("score") >= 1).cast("int").alias("scored"))
+        .agg(F.count("*").alias("documents"))
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (p1_found, p1_report, p1_sample, p2_found, p2_containers, p2_report, p3_found, p3_split, p3_report, p4_found, p4_pieces,
-              p5_found, p5_overlaps, p5_report, p6_found, p6_groups, p7_found, p7_leaks, p8_found, p8_word_report, p8_mix, p8_report)
+              p5_found, p5_overlaps, p5_report, p6_found, p6_groups, p7_found, p7_leaks, p8_found, p8_word_report, p8_mix, p8_report, p9_found,
+              p9_scores, p9_report, p9_agreement)
 }

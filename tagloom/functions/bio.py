@@ -9,7 +9,6 @@ from tagloom.functions.text import WS
 
 #: One rendered unit, ``token(B-type)`` or ``token(O)``; the type is made of word characters in the Unicode sense.
 UNIT = r"(?U)^(.+)\(([BI]-\w+|O)\)$"
-SPAN = "array<struct<etype:string,s:int,e:int>>"
 
 
 def etype(tag: Column) -> Column:
@@ -22,24 +21,40 @@ def _tagged(tag: Column) -> Column:
 
 
 def _continues(tags: Column, i: Column) -> Column:
+    """Whether position ``i`` is an ``I-`` of the type that stands right before it."""
     now, before = F.get(tags, i), F.get(tags, i - 1)
     return F.coalesce(now.startswith("I-") & _tagged(before) & (etype(now) == etype(before)), F.lit(False))
 
 
+RUN = "array<struct<etype:string,s:int,e:int,opened:string>>"
+
+
+def runs(tags: Column) -> Column:
+    """Runs (etype, s, e, opened) of a tag array, e exclusive, in order; ``opened`` is B or I.
+
+    A run starts at every tag that is not an ``I-`` continuing the type before it. Only tags other than ``O`` are
+    looked at twice. Null and empty arrays have no runs. ``tags`` should be a plain column.
+    """
+    typed = F.filter(F.transform(tags, lambda t, i: F.when(t != "O", F.when(_tagged(t), i))), lambda i: i.isNotNull())
+    starts = F.filter(typed, lambda i: ~_continues(tags, i))
+    ends = F.filter(typed, lambda i: ~_continues(tags, i + 1))
+    made = F.zip_with(starts, ends, lambda a, b: F.struct(
+        etype(F.get(tags, a)).alias("etype"), a.alias("s"), (b + 1).alias("e"), F.substring(F.get(tags, a), 1, 1).alias("opened")))
+    return F.coalesce(made, F.array().cast(RUN))
+
+
+def of_runs(found: Column, strict: bool = True) -> Column:
+    """Spans (etype, s, e) of runs: strict takes those opened by ``B-``, lenient all."""
+    kept = F.filter(found, lambda r: r["opened"] == "B") if strict else found
+    return F.transform(kept, lambda r: F.struct(r["etype"].alias("etype"), r["s"].alias("s"), r["e"].alias("e")))
+
+
 def spans(tags: Column, strict: bool = True) -> Column:
-    """Spans (etype, s, e) of a tag array, e exclusive, in order.
+    """Spans (etype, s, e) of a tag array.
 
-    A run starts at every position that is not an ``I-`` continuing the type before it. Strict: only runs opened by
-    ``B-`` are spans. Lenient: a run opened by an orphan ``I-`` is one, too. Null and empty arrays have no spans.
-    ``tags`` should be a plain column: it is read at every position.
+    Strict: an ``I-`` without an open span of its type opens nothing. Lenient: it opens a span.
     """
-    n = F.size(tags)
-    starts = F.filter(F.sequence(F.lit(0), n), lambda i: (i == 0) | (i == n) | ~_continues(tags, i))
-    pairs = F.zip_with(starts, F.slice(starts, 2, n + 1), lambda a, b: F.struct(a.alias("s"), b.alias("e")))
-    opened = (lambda t: t.startswith("B-")) if strict else _tagged
-    real = F.filter(pairs, lambda p: p["e"].isNotNull() & F.coalesce(opened(F.get(tags, p["s"])), F.lit(False)))
-    made = F.transform(real, lambda p: F.struct(etype(F.get(tags, p["s"])).alias("etype"), p["s"].alias("s"), p["e"].alias("e")))
-    return F.when(tags.isNull(), F.array().cast(SPAN)).otherwise(made)
+    return of_runs(runs(tags), strict)
 
 
 def parse_inline(text: Column) -> Column:

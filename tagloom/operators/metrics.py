@@ -56,12 +56,13 @@ def scores(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def both_modes(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Lenient and strict measures side by side, from one pass over the records."""
-    spans = {m: (bio.spans(F.col("gold"), m == "strict"), bio.spans(F.col("pred"), m == "strict")) for m in ("default", "strict")}
-    rows = df.select(*keys, *[c.alias(f"{m}_{i}") for m, pair in spans.items() for i, c in zip("gp", pair)])
+    """Lenient and strict measures side by side, from one decoding of every record."""
+    decoded = df.select(*keys, bio.runs(F.col("gold")).alias("__g"), bio.runs(F.col("pred")).alias("__p"))
+    modes = ("default", "strict")
+    rows = decoded.select(*keys, *[bio.of_runs(F.col(f"__{i}"), m == "strict").alias(f"{m}_{i}") for m in modes for i in "gp"])
     sums = [
         F.coalesce(F.sum(F.size(c)), F.lit(0)).alias(f"{m}_{name}")
-        for m in spans
+        for m in modes
         for name, c in (("tp", F.array_intersect(f"{m}_g", f"{m}_p")), ("n_pred", F.col(f"{m}_p")), ("n_gold", F.col(f"{m}_g")))
     ]
     a = rows.groupBy(*keys).agg(*sums, F.count("*").alias("n_records"))

@@ -53,7 +53,9 @@ def poisson_weight(h: Column) -> Column:
 def poisson_replicates(units: DataFrame, unit: str, iterations: int, seed: str, models: list[str]) -> DataFrame:
     """(it, tp_m, ...): every unit counted Poisson(1) times in each iteration."""
     columns = [f"{c}_{m}" for m in models for c in ("tp", "n_pred", "n_gold")]
-    each = units.select(unit, *columns, F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("it"))
+    # the rows multiply by the iterations: spread them before, whatever the size of the count table
+    spread = units.repartition(units.sparkSession.sparkContext.defaultParallelism, unit)
+    each = spread.select(unit, *columns, F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("it"))
     weighted = each.withColumn("w", poisson_weight(hash52(seed, F.col("it"), F.col(unit)))).where("w > 0")
     return weighted.groupBy("it").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in columns])
 

@@ -500,8 +500,10 @@ def clauses(symbols: str) -> Iterator[tuple[float, str]]:
             inside = sum(i < hit.start() for i in quotes) % 2 == 1
             around = clause[max(0, hit.start() - 15) : hit.end() + 4]
             factor = 1.0
-            if quotes:
-                factor = 0.1 if report.search(around) else 0.5 if inside else 1.0
+            if inside:
+                factor = 0.1 if report.search(clause) else 0.5
+            elif quotes and report.search(around):
+                factor = 0.1
             if notice.search(around):
                 factor *= 0.2
             by_kind[kind] = by_kind.get(kind, 0.0) + weight * factor

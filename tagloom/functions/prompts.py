@@ -2,41 +2,47 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import WS
 
-# Prompt texts of the data set.
-EXTRACT = ("Extraia todas as ocorrências da entidade ", " do texto.")
+# The prompt texts of the data set, with the places for what is filled in.
+INSTRUCTION = "Extraia todas as ocorrências da entidade {etype} do texto."
 FORMAT = (
     "Reproduza o texto inteiro, token a token (separados por espaço), na mesma ordem e sem omitir nenhum token. "
-    "Logo após cada token, anexe entre parênteses, sem espaço, o seu rótulo BIO:\n- B-",
-    " no primeiro token de cada ocorrência da entidade ",
-    ";\n- I-",
-    " nos demais tokens da mesma ocorrência;\n- O em todo token que não pertence à entidade.\n"
-    "Formato esperado (esquema sintático, não exemplo de conteúdo): token1(O) token2(B-",
-    ") token3(I-",
-    ") token4(O)",
+    "Logo após cada token, anexe entre parênteses, sem espaço, o seu rótulo BIO:\n"
+    "- B-{etype} no primeiro token de cada ocorrência da entidade {etype};\n"
+    "- I-{etype} nos demais tokens da mesma ocorrência;\n"
+    "- O em todo token que não pertence à entidade.\n"
+    "Formato esperado (esquema sintático, não exemplo de conteúdo): token1(O) token2(B-{etype}) token3(I-{etype}) token4(O)"
 )
 TEACHER = (
-    "\n\nEste é um exemplo de resposta correta para a tarefa acima:\n",
-    "\n\nAgora produza a sua própria resposta, no mesmo formato.",
+    "{query}\n\nEste é um exemplo de resposta correta para a tarefa acima:\n{output}\n\n"
+    "Agora produza a sua própria resposta, no mesmo formato."
 )
-TURN = ("<|im_start|>", "\n", "<|im_end|>")
+TURN = "<|im_start|>{role}\n{content}<|im_end|>"
+OPEN_TURN = "<|im_start|>assistant\n"
 
 
-def instruction(entity_type: Column) -> Column:
-    return F.concat(F.lit(EXTRACT[0]), entity_type, F.lit(EXTRACT[1]))
+def pieces(template: str) -> list[tuple[str, str | None]]:
+    """The fixed pieces of a template, each with the name of the place behind it."""
+    return [(text, name) for text, name, _, _ in Formatter().parse(template)]
+
 
+def fill(template: str, **values: Column) -> Column:
+    """A template with columns in its places."""
+    return F.concat(*[c for text, name in pieces(template) for c in ([F.lit(text)] if text else []) + ([values[name]] if name else [])])
 
-def format_description(entity_type: Column) -> Column:
-    first, *rest = map(F.lit, FORMAT)
-    return F.concat(first, *[x for part in rest for x in (entity_type, part)])
+
+def instruction(entity_type: Column) -> Column:
+    return fill(INSTRUCTION, etype=entity_type)
 
 
 def instruction_with_format(entity_type: Column) -> Column:
-    return F.concat(instruction(entity_type), F.lit("\n\n"), format_description(entity_type))
+    return F.concat(instruction(entity_type), F.lit("\n\n"), fill(FORMAT, etype=entity_type))
 
 
 def content(instruction_text: Column, text: Column) -> Column:
@@ -51,13 +57,13 @@ def message(role: str, text: Column) -> Column:
 def turn(role: Column | str, text: Column) -> Column:
     """One closed turn of the plain chat template."""
     role = F.lit(role) if isinstance(role, str) else role
-    return F.concat(F.lit(TURN[0]), role, F.lit(TURN[1]), text, F.lit(TURN[2]))
+    return fill(TURN, role=role, content=text)
 
 
 def chat(messages: Column, open_answer: bool = True) -> Column:
     """All messages as turns, one a line; with ``open_answer`` the assistant's turn is left open at the end."""
     closed = F.array_join(F.transform(messages, lambda m: turn(m["role"], m["content"])), "\n")
-    return F.concat(closed, F.lit("\n" + TURN[0] + "assistant" + TURN[1])) if open_answer else closed
+    return F.concat(closed, F.lit("\n" + OPEN_TURN)) if open_answer else closed
 
 
 def training_text(instruction_text: Column, text: Column, output: Column) -> Column:
@@ -67,7 +73,7 @@ def training_text(instruction_text: Column, text: Column, output: Column) -> Col
 
 def teacher(student: Column, output: Column) -> Column:
     """The student's prompt with a right answer shown."""
-    return F.concat(student, F.lit(TEACHER[0]), output, F.lit(TEACHER[1]))
+    return fill(TEACHER, query=student, output=output)
 
 
 def few_shot(demos: Column, query: Column) -> Column:

@@ -153,12 +153,17 @@ _SPLITTED = f"""WITH {DOC}, body AS (SELECT act_id, act, md5(array_to_string(tok
 _q = lambda s: "'" + s.replace("'", "''") + "'"
 
 
+def _fill(template: str, **values: str) -> str:
+    """A template as an SQL concatenation."""
+    return " || ".join(x for text, name in prompts.pieces(template) for x in ([_q(text)] if text else []) + ([values[name]] if name else []))
+
+
 def _inst(t: str) -> str:
-    return f"{_q(prompts.EXTRACT[0])} || {t} || {_q(prompts.EXTRACT[1])}"
+    return _fill(prompts.INSTRUCTION, etype=t)
 
 
 def _format(t: str) -> str:
-    return f" || {t} || ".join(map(_q, prompts.FORMAT))
+    return _fill(prompts.FORMAT, etype=t)
 
 
 _GNER = f"""WITH {DOC}, typ AS (SELECT regexp_replace(strip_accents(lower(act)), '^ato_', '') AS act, unnest(etypes) AS entity_type FROM entity_schema
@@ -198,11 +203,10 @@ _QUERY = "coalesce(instruction_fmt, instruction, '') || chr(10) || chr(10) || co
 
 
 def _turn(role: str, text: str) -> str:
-    a, b, c = prompts.TURN
-    return f"'{a}{role}' || chr(10) || {text} || '{c}'"
+    return _fill(prompts.TURN, role=_q(role), content=text)
 
 
-_OPEN = "chr(10) || '<|im_start|>assistant' || chr(10)"
+_OPEN = "chr(10) || " + _q(prompts.OPEN_TURN)
 _DIGIT = r"0-9\x{b2}\x{b3}\x{b9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}"
 
 
@@ -300,7 +304,7 @@ SQL: dict[str, str] = {
       FROM checkpoints JOIN cand USING (run, step) WHERE dev_f1 IS NOT NULL AND NOT isnan(dev_f1)) SELECT run, step, dev_f1 FROM r WHERE r = 1""",
     "chat_render": f"""WITH {REC} SELECT record_id, {_turn('user', _QUERY)} || {_OPEN} AS prompt,
       {_turn('user', _QUERY)} || chr(10) || {_turn('assistant', "coalesce(output, '')")} AS training_text FROM rec""",
-    "teacher_prompt": f"WITH {REC} SELECT record_id, {_QUERY} || {_q(prompts.TEACHER[0])} || coalesce(output, '') || {_q(prompts.TEACHER[1])} AS teacher_prompt FROM rec",
+    "teacher_prompt": f"WITH {REC} SELECT record_id, {_fill(prompts.TEACHER, query=_QUERY, output="coalesce(output, '')")} AS teacher_prompt FROM rec",
     "few_shot_prompt": f"""WITH {REC}, demo AS (SELECT act, entity_type, {_DEMO} AS place,
         {_turn('user', "instruction || chr(10) || chr(10) || input")} || chr(10) || {_turn('assistant', 'output')} || chr(10) AS t FROM rec
         WHERE split = 'train' AND NOT is_negative AND act IS NOT NULL AND entity_type IS NOT NULL AND instruction IS NOT NULL AND input IS NOT NULL AND output IS NOT NULL),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.text import hash52
 from tagloom.operators.ranking import running
+from tagloom.operators.skew import join_unique
 from tagloom.plans.storage import drop_staged, stage
 
 
@@ -45,23 +46,25 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
             "c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p")), "parent")
         while True:  # pointer doubling: the depth halves each time
             up = parent.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-            doubled = stage(parent.join(up, "p").select("c", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")), "parent")
+            doubled = stage(join_unique(parent, up, ["p"]).select("c", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")), "parent")
             drop_staged(parent)
             parent = doubled.select("c", "p")
             if doubled.where("moved").isEmpty():
                 break
         to = parent.select("c", F.col("p").alias("r"))
         old = labels
-        labels = stage(labels.join(to, F.col("root") == F.col("c"), "left").select("v", F.coalesce("r", "root").alias("root")), "labels")
+        named = stage(labels.select("root").distinct().join(to, F.col("root") == F.col("c"), "left").select("root", F.coalesce("r", "root").alias("r")), "named")
+        labels = stage(join_unique(labels, named, ["root"]).select("v", F.col("r").alias("root")), "labels")
         drop_staged(old)
         before = now
+        half = stage(join_unique(now, to, ["c"]).select(F.col("r").alias("c"), F.col("d").alias("__d"), "e"), "half")
         moved = (
-            now.join(to, "c").select(F.col("r").alias("c"), F.col("d").alias("__d"), "e")
-            .join(to.select(F.col("c").alias("__d"), F.col("r").alias("d")), "__d").where(F.col("c") != F.col("d"))
+            join_unique(half, to.select(F.col("c").alias("__d"), F.col("r").alias("d")), ["__d"]).where(F.col("c") != F.col("d"))
             .select(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d"), "e.w", "e.u", "e.v")
         )
         now = stage(lightest(moved), "edges")
-        drop_staged(before)
+        for done in (before, half, named):
+            drop_staged(done)
     if forest is None:
         forest = clean.select("u", "v")
     return labels, forest
@@ -109,7 +112,7 @@ def grouped_split(df: DataFrame, id_col: str, key_col: str, ratios: dict[str, in
     labels, forest = spanning_forest(pair.where(F.col("key").isNotNull()).select("u", "v"))
 
     ids = pair.groupBy("id", "u").agg(F.sum("rows").alias("rows"))
-    item = (
+    item = (  # both sides have one row per id
         ids.join(labels.select(F.col("v").alias("u"), "root"), "u", "left")
         .select("id", F.coalesce("root", "u").alias("root"), "rows")
     )
@@ -140,7 +143,7 @@ def grouped_split(df: DataFrame, id_col: str, key_col: str, ratios: dict[str, in
     by_root = ranked.select("root", F.element_at(F.array(*map(F.lit, turns)), turn).alias("split"))
     if dealt:
         by_root = by_root.unionByName(df.sparkSession.createDataFrame(dealt, "root bigint, split string"))
-    assignment = item.join(by_root, "root").select("id", "root", "split")
+    assignment = join_unique(item, stage(by_root, "roots"), ["root"]).select("id", "root", "split")
 
     keys = (
         pair.where(F.col("key").isNotNull()).groupBy("key", "v").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm import textvec
+from tagloom.operators.skew import join_unique
+from tagloom.plans.storage import stage
 
 
 def text_sets(df: DataFrame, id_col: str, text_col: str, k: int, carry: list[str] = ()) -> DataFrame:
@@ -51,13 +53,13 @@ def text_sets(df: DataFrame, id_col: str, text_col: str, k: int, carry: list[str
 
 
 def classes(sets: DataFrame, *aggs) -> DataFrame:
-    """(rep, k1, k2, copies, aggs...): one row per class of equal sets; ``rep`` is its smallest id."""
-    return sets.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), *aggs)
+    """(rep, k1, k2, copies, aggs...): one row per class of equal sets, as a table; ``rep`` is its smallest id."""
+    return stage(sets.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), *aggs), "classes")
 
 
 def members(sets: DataFrame, cls: DataFrame, *carry: str) -> DataFrame:
-    """(id, rep, carry...): which class each text is in."""
-    return sets.select("id", "k1", "k2", *carry).join(cls.select("k1", "k2", "rep"), ["k1", "k2"]).drop("k1", "k2")
+    """(id, rep, carry...): which class each text is in; a class may hold any share of the texts."""
+    return join_unique(sets.select("id", "k1", "k2", *carry), cls.select("k1", "k2", "rep"), ["k1", "k2"]).drop("k1", "k2")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:

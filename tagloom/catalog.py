@@ -385,7 +385,7 @@ def label_vocab(spark, d):
 def label_encode(spark, d):
     docs = documents(spark, d)
     vocab = features.label_vocabulary(docs).agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "label"))), lambda x: x["label"]).alias("v"))
-    return docs.crossJoin(F.broadcast(vocab)).select("act_id", bio.encode(F.col("tags"), F.col("v")).alias("ids"))  # one row of labels
+    return docs.withColumn("v", vocab.scalar()).select("act_id", bio.encode(F.col("tags"), F.col("v")).alias("ids"))
 
 
 # resume ---------------------------------------------------------------------------------------------------------------

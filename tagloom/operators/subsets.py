@@ -16,9 +16,9 @@ def sample_n(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
 
 def fraction(df: DataFrame, key: str, share: float, seed: str) -> DataFrame:
     """max(1, round half even (rows * share)) rows, with their place ``rank`` in the sampled order."""
-    total = df.agg(F.greatest(F.lit(1), F.bround(F.count("*") * share).cast("bigint")).alias("__keep"))
+    keep = df.agg(F.greatest(F.lit(1), F.bround(F.count("*") * share).cast("bigint")))
     ranked = running(df.withColumn("__h", hash52(seed, F.col(key))), [], "__h", [key], None, "rank")
-    return ranked.join(F.broadcast(total), F.col("rank") < F.col("__keep")).drop("__h", "__keep")  # one row
+    return ranked.where(F.col("rank") < keep.scalar()).drop("__h")
 
 
 def first_rows(df: DataFrame, idx: str, n: int) -> DataFrame:

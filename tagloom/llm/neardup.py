@@ -97,7 +97,8 @@ def similar_pairs(reps: DataFrame, sets: DataFrame, threshold: float, recall: fl
     if not crowded.isEmpty():
         pairs = pairs.unionByName(prefix_pairs(reps.join(crowded, "id", "left_semi"), threshold))
     found = textsets.verify(pairs.distinct(), sets)
-    return found.where(textsets.at_least(threshold, F.col("na"), F.col("nb"), F.col("common")))
+    # a table of the links alone: whoever reads it twice does not search twice
+    return stage(found.where(textsets.at_least(threshold, F.col("na"), F.col("nb"), F.col("common"))), "pairs")
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, k: int = 5, threshold: float = 0.8,

@@ -8,7 +8,7 @@ island between rounds. A block is a row, an island of it a task's work: no step
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +41,31 @@ def best_fit(sizes: np.ndarray, items: np.ndarray, bins: np.ndarray, rest: list[
     return n
 
 
+def swap_in(sizes: np.ndarray, items: np.ndarray, bins: np.ndarray, rest: list[int]) -> np.ndarray:
+    """Exchange placed items for larger free ones that fit better; returns the items that are free afterwards.
+
+    Every exchange fills a container further and leaves a smaller item free, which is easier to place.
+    """
+    free = sorted((int(sizes[i]), int(i)) for i in items)
+    keys = [f[0] for f in free]
+    placed = np.flatnonzero(bins >= 0)
+    for item, b in zip(placed.tolist(), bins[placed].tolist()):
+        room = rest[b]
+        if not room:
+            continue
+        size = int(sizes[item])
+        at = bisect_right(keys, size + room) - 1
+        if at >= 0 and keys[at] > size:
+            larger, other = free.pop(at)
+            keys.pop(at)
+            bins[other], bins[item] = b, -1
+            rest[b] = room + size - larger
+            back = bisect_left(keys, size)
+            free.insert(back, (size, item))
+            keys.insert(back, size)
+    return np.array([i for _, i in reversed(free)], dtype=np.int64)
+
+
 def fitness(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> float:
     """Mean squared fill of the containers: full containers beside an empty one beat two half-full ones."""
     fill = np.bincount(bins, weights=sizes) / capacity
@@ -66,8 +91,8 @@ def crossover(sizes: np.ndarray, a: np.ndarray, b: np.ndarray, capacity: int, rn
     child[injected] = new_a[a[injected]]
     child[kept] = n_a + new_b[b[kept]]
     # an intact container of b may hold nothing but items that were injected; it can't: then it would be broken
-    rest = capacity - np.concatenate([fill_a[inject], fill_b[~broken]])
-    best_fit(sizes, np.flatnonzero(child < 0), child, rest.astype(np.int64).tolist(), capacity)
+    rest = (capacity - np.concatenate([fill_a[inject], fill_b[~broken]])).astype(np.int64).tolist()
+    best_fit(sizes, swap_in(sizes, np.flatnonzero(child < 0), child, rest), child, rest, capacity)
     return child
 
 
@@ -82,21 +107,22 @@ def evolve(sizes: np.ndarray, capacity: int, given: list[np.ndarray], seed: int,
         best_fit(sizes, order, bins, [], capacity)
         pool.append((fitness(sizes, bins, capacity), bins))
     for _ in range(generations):
+        pool = list({round(s[0], 12): s for s in pool}.values())  # solutions of equal fitness are near copies: one stays
         pool.sort(key=lambda s: -s[0])
         if not len(sizes) or int(pool[0][1].max()) + 1 == least:
             break
-        top = max(2, population // 2)
+        pool = pool[: max(2, population // 2)]
         made = []
         for _ in range(population - population // 2):
-            i, j = rng.choice(min(top, len(pool)), 2, replace=False)
+            i, j = rng.integers(len(pool), size=2)
             child = crossover(sizes, pool[i][1], pool[j][1], capacity, rng)
             made.append((fitness(sizes, child, capacity), child))
-        pool = pool[: population // 2] + made
+        pool += made
     return max(pool, key=lambda s: s[0])[1]
 
 
 def pack(items: DataFrame, id_col: str, size_col: str, capacity: int, *, block_items: int = 800, islands: int = 3,
-         rounds: int = 2, population: int = 4, generations: int = 4) -> DataFrame:
+         rounds: int = 2, population: int = 6, generations: int = 10) -> DataFrame:
     """(id, piece_no, start, size, container): which container each item, or piece of one, is put into.
 
     An item larger than ``capacity`` is cut into full pieces and a remainder, and nothing else is cut; ``start`` is the

@@ -102,7 +102,7 @@ def similar_pairs(reps: DataFrame, sets: DataFrame, threshold: float, recall: fl
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, k: int = 5, threshold: float = 0.8,
-                    recall: float = 0.9995, bucket: int = 64, **plan) -> tuple[DataFrame, DataFrame]:
+                    recall: float = 0.9999, bucket: int = 64, **plan) -> tuple[DataFrame, DataFrame]:
     """Membership (id, rep) and pairs (a, b, na, nb, common) of class representatives at the threshold.
 
     One row per id with at least ``k`` words; texts with equal sets of ``k``-word sequences share a ``rep``. ``id``

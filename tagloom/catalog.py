@@ -190,6 +190,14 @@ def bootstrap_record_ci(spark, d):
     return _rounded(resample.order_interval(resample.replicate_f1(drawn, ["a"]), F.col("f1_a"), 200), "mean", "ci_lower", "ci_upper")
 
 
+def bootstrap_record_delta(spark, d):
+    """Paired record bootstrap of two models: mean and interval of the difference, and whether it is all positive."""
+    units = resample.numbered(_units(spark, d, "idx"), "idx")
+    drawn = resample.replicate_f1(resample.draw_replicates(units, 200, "record", ["a", "b"]), ["a", "b"])
+    ci = resample.order_interval(drawn, F.col("f1_a") - F.col("f1_b"), 200)
+    return _rounded(ci.withColumn("supported", F.col("ci_lower") > 0), "mean", "ci_lower", "ci_upper")
+
+
 def bootstrap_poisson_ci(spark, d):
     drawn = resample.poisson_replicates(_units(spark, d, "idx"), "idx", 200, "poisson", ["a", "b"])
     return _rounded(resample.percentile_interval(resample.replicate_f1(drawn, ["a", "b"]), F.col("f1_a") - F.col("f1_b")), "mean", "lo", "hi")
@@ -245,7 +253,7 @@ def parse_inline_bio(spark, d):
     return text.select("record_id", bio.parse_inline_tokens(F.col("t")).alias("tokens"), bio.parse_inline(F.col("t")).alias("labels"))
 
 
-def parse_align_generated(spark, d):
+def parse_inline_bio_align(spark, d):
     """Labels of the generated text by the gold length, and how many of them differ from the stored prediction."""
     made = predict.parse_generated(predictions(spark, d).where("gen is not null").withColumn("n", F.size("gold")), "gen", "n", "parsed")
     same = F.size(F.filter(F.zip_with("parsed", "pred", lambda a, b: a == b), lambda x: x))
@@ -414,8 +422,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         span_decode_strict, span_decode_lenient, span_decode_window, ner_f1_overall, ner_f1_by_act, ner_f1_by_entity, ner_class_report,
         ner_counts_by_act_support, ner_counts_by_type_support, ner_error_decomposition, ner_template_types, ner_error_decomposition_subset,
         ner_compare_delta, ner_weighted_gap, doc_counts, doc_order, bootstrap_cluster_ci, bootstrap_paired_delta, bootstrap_record_ci,
-        bootstrap_poisson_ci, split_stratified, split_stats, record_counts, duplicate_bodies, entity_schema_by_act, gner_records, conll_render,
-        parse_inline_bio, parse_align_generated, slice_to_entity_join, slice_unmatched, few_shot_demos, sample_fixed_n, train_fraction,
+        bootstrap_record_delta, bootstrap_poisson_ci, split_stratified, split_stats, record_counts, duplicate_bodies, entity_schema_by_act, gner_records, conll_render,
+        parse_inline_bio, parse_inline_bio_align, slice_to_entity_join, slice_unmatched, few_shot_demos, sample_fixed_n, train_fraction,
         limit_prefix, benchmark_scores, benchmark_first_metric, forgetting_delta, forgetting_bench_summary, forgetting_seed_summary,
         run_registry_files, checkpoint_candidates, checkpoint_argmax, chat_render, teacher_prompt, few_shot_prompt, token_features, word_shape,
         label_vocab, label_encode, resume_todo, completeness_gate)

@@ -267,6 +267,9 @@ SQL: dict[str, str] = {
     "bootstrap_record_ci": f"""{STRICT}, units AS (SELECT *, row_number() OVER (ORDER BY {_h(chr(39) + 'unit' + chr(39), 'idx')}, idx) - 1 AS k FROM cnt){_draws('units', 'record')}, rep AS (
       SELECT it, {_ratio('2 * sum(tp)', 'sum(n_pred) + sum(n_gold)')} AS f FROM turns JOIN units USING (k) GROUP BY it)
       SELECT avg(f) AS mean, list_sort(list(f))[6] AS ci_lower, list_sort(list(f))[196] AS ci_upper FROM rep""",
+    "bootstrap_record_delta": f"""{PAIR}{_UNITS.format('idx', _h("'unit'", 'idx'))}{_draws('units', 'record')}, rep AS (
+      SELECT it, {_ratio('2 * sum(tp_a)', 'sum(np_a) + sum(ng_a)')} - {_ratio('2 * sum(tp_b)', 'sum(np_b) + sum(ng_b)')} AS f FROM turns JOIN units USING (k) GROUP BY it)
+      SELECT avg(f) AS mean, list_sort(list(f))[6] AS ci_lower, list_sort(list(f))[196] AS ci_upper, list_sort(list(f))[6] > 0 AS supported FROM rep""",
     "bootstrap_poisson_ci": _poisson(),
     "split_stratified": _SPLITTED + " SELECT act_id, act, split FROM splitted",
     "split_stats": _SPLITTED + """ SELECT act, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'dev') AS dev,
@@ -280,7 +283,7 @@ SQL: dict[str, str] = {
       array_to_string(list_transform(range(1, len(tokens) + 1), lambda i: tokens[i] || ' ' || tags[i]), chr(10)) || chr(10) AS text FROM doc""",
     "parse_inline_bio": f"""WITH {REC}, u AS (SELECT record_id, list_filter({_units('output')}, lambda u: regexp_extract(u, {_UNIT}, 2) <> '') AS u FROM rec)
       SELECT record_id, list_transform(u, lambda x: regexp_extract(x, {_UNIT}, 1)) AS tokens, list_transform(u, lambda x: regexp_extract(x, {_UNIT}, 2)) AS labels FROM u""",
-    "parse_align_generated": f"""WITH {PRED}, a AS (SELECT idx, pred, len(gold)::INT AS n, {_labels('gen')} AS l FROM pred WHERE gen IS NOT NULL),
+    "parse_inline_bio_align": f"""WITH {PRED}, a AS (SELECT idx, pred, len(gold)::INT AS n, {_labels('gen')} AS l FROM pred WHERE gen IS NOT NULL),
       b AS (SELECT idx, n, pred, list_transform(range(1, n + 1), lambda i: coalesce(l[i], 'O')) AS parsed FROM a)
       SELECT idx, n, parsed, n - len(list_filter(range(1, n + 1), lambda i: parsed[i] = pred[i])) AS differing FROM b""",
     "slice_to_entity_join": f"WITH {SECOND} SELECT idx, pred, matched FROM second",
@@ -332,7 +335,8 @@ SQL: dict[str, str] = {
 #: Columns whose last digits depend on the order of summation.
 _ROUNDED = {
     "ner_class_report": "precision recall f1", "ner_weighted_gap": "gap", "bootstrap_cluster_ci": "mean lo hi", "bootstrap_paired_delta": "mean lo hi",
-    "bootstrap_record_ci": "mean ci_lower ci_upper", "bootstrap_poisson_ci": "mean lo hi", "forgetting_delta": "delta_pp",
+    "bootstrap_record_ci": "mean ci_lower ci_upper",
+    "bootstrap_record_delta": "mean ci_lower ci_upper", "bootstrap_poisson_ci": "mean lo hi", "forgetting_delta": "delta_pp",
     "forgetting_bench_summary": "mean_delta", "forgetting_seed_summary": "mean_delta std_delta", "record_counts": "negative_share",
 }
 for _name, _columns in _ROUNDED.items():

@@ -360,7 +360,7 @@ FILL, STOP, COMMA, QUOTE = "x", ".", ",", '"'
 def _together(m: re.Match) -> str:
     """Spaced letters as a word; a single letter after the word is a word of its own."""
     word, known = m.group().replace(" ", ""), _alphabet()[0]
-    if word not in known and _RUN.sub(r"\1", word[:-1]) in known:
+    if _RUN.sub(r"\1", word) not in known and _RUN.sub(r"\1", word[:-1]) in known:
         return f"{word[:-1]} {word[-1]}"
     return word
 

@@ -9,7 +9,8 @@ CASES = [
     "quem tem a pele daquela cor só entende no chicote", "velho só atrapalha, deviam deixar morrer todos na fila do posto",
     "manda foto pelada que eu libero o teu processo 123", "quanto custa o programa, sua putinha?", "rolou suruba na garagem, ela gemia nua em cima dele e pedia mais",
     "Incendiar o acampamento com todos dentro, é disso que aqueles selvagens precisam!", "Se cruzar comigo você não volta para casa, pode apostar",
-    "essa gestora é uma cobra, não sabe nem ligar o computador",
+    "essa gestora é uma cobra, não sabe nem ligar o computador", "quadrilha de s a n g u e s s u g a s, só servem para roubar R$ 1,00.",
+    "mulher em chefia dá nisso, lugar dessas v a d i a s é no tanque",
 ]
 HARMLESS = [
     "A corregedoria registrou que a testemunha ouviu a palavra \" idiota \" no corredor.", "Sindicância apura se o servidor chamou colega de \" vagabundo \" em reunião.",
@@ -51,7 +52,7 @@ def test_rows_and_rates(spark):
 
 
 def test_agreement_with_reviewers(spark, small):
-    """The grammar is written, not fitted: reviewed documents are held out by nature. Verdicts are noisy."""
+    """Verdicts are noisy: about one in twenty-five is wrong either way."""
     from tagloom.llm.queries import QUERIES
 
     table = {(r.reviewed, r.scored): r.documents for r in QUERIES["p9_agreement"](spark, small.replace("0.001", "0.1")).collect()}

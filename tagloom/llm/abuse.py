@@ -352,6 +352,8 @@ _TOKEN = re.compile(r"[a-z0-9@$#*!|_](?:[a-z0-9@$#*!|_.\-]*[a-z0-9@$#*|_])?|[.!?
 _WRAPPED = re.compile(r"(?<=[a-z])-[ \t]*\r?\n[> \t]*(?=[a-z])")
 _DIGITS = str.maketrans("4@3!10$57|", "aaeiiosstl")
 _RUN = re.compile(r"(.)\1+")
+_CLAUSE_END = re.compile(r"[.!?…\n]\s")
+_WORD_END = re.compile(r"\s")
 _JOINT = re.compile(r"[.\-_]")
 
 FILL, STOP, COMMA, QUOTE = "x", ".", ",", '"'
@@ -511,16 +513,27 @@ def clauses(symbols: str) -> Iterator[tuple[float, str]]:
             yield sum(by_kind.values()), max(by_kind, key=by_kind.get)
 
 
+def _parts(text: str, most: int = 200_000) -> Iterator[str]:
+    """A long text in parts, cut after the end of a clause (or of a word, in text without any)."""
+    start = 0
+    while len(text) - start > most:
+        cut = _CLAUSE_END.search(text, start + most, start + 2 * most) or _WORD_END.search(text, start + most)
+        if cut is None:
+            break
+        yield text[start : cut.end()]
+        start = cut.end()
+    yield text[start:]
+
+
 def score(text: str | None, symbols: Symbols) -> tuple[float, str | None, int]:
     """Highest clause score, its kind, and the number of clauses that are cases; (0, none, 0) without events."""
-    if not text:
-        return 0.0, None, 0
-    line = "".join([symbols[t] for t in _TOKEN.findall(fold(text))])
     best, kind, cases = 0.0, None, 0
-    for s, k in clauses(line):
-        cases += s >= 1
-        if s > best:
-            best, kind = s, k
+    for part in _parts(text or ""):
+        line = "".join([symbols[t] for t in _TOKEN.findall(fold(part))])
+        for s, k in clauses(line):
+            cases += s >= 1
+            if s > best:
+                best, kind = s, k
     return round(best, 4), kind, cases
 
 

@@ -28,12 +28,13 @@ BOUNDARIES = (
 
 def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Places where ``text`` may be cut, ascending, and the strength of each."""
-    best: dict[int, int] = {}
-    for strength, pattern in BOUNDARIES:
-        for m in pattern.finditer(text):
-            best.setdefault(m.end(), strength)
-    places = np.array(sorted(best), dtype=np.int64)
-    return places, np.array([best[p] for p in places.tolist()], dtype=np.int64)
+    found = [np.fromiter((m.end() for m in pattern.finditer(text)), np.int64) for _, pattern in BOUNDARIES]
+    places = np.concatenate(found)
+    strengths = np.repeat([strength for strength, _ in BOUNDARIES], [len(f) for f in found])
+    order = np.lexsort((-strengths, places))
+    places, strengths = places[order], strengths[order]
+    first = np.r_[True, places[1:] != places[:-1]] if len(places) else np.zeros(0, bool)  # the strongest of each place
+    return places[first], strengths[first]
 
 
 def cores(text: str, most: int) -> list[tuple[int, int]]:

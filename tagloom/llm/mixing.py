@@ -8,6 +8,7 @@ source; the slot's rank among its source's slots picks the block. After its last
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,8 +36,8 @@ def token_sizes(df: DataFrame, id_col: str, text_col: str, carry: list[str], ran
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks_file, pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column("__text").to_pylist()]
-            sizes = [len(encoder.encode_ordinary(t)) for t in texts]
+            texts = batch.column("__text").to_pylist()
+            sizes = [sum(len(encoder.encode_ordinary(p)) for p in _parts(t or "")) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(f.name) for f in fields] + [pa.array(sizes, pa.int64())], names=[f.name for f in fields] + ["size"])
 
@@ -44,6 +45,21 @@ def token_sizes(df: DataFrame, id_col: str, text_col: str, carry: list[str], ran
     return kept.mapInArrow(run, f"{schema}, size bigint")
 
 
+_BETWEEN = re.compile(r"(?<=[^\W\d_])(?= [^\W\d_])")
+
+
+def _parts(text: str, most: int = 1_000_000) -> Iterator[str]:
+    """A long text in parts, cut before a single space between letters: there a token ends in any case."""
+    start = 0
+    while len(text) - start > most:
+        cut = _BETWEEN.search(text, start + most)
+        if cut is None:
+            break
+        yield text[start : cut.start()]
+        start = cut.start()
+    yield text[start:]
+
+
 _ENCODERS: dict = {}
 
 

@@ -86,22 +86,43 @@ def _word_hashes(folded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, counts
 
 
+_OUTSIDE = re.compile(rb"[^a-z0-9]")
+
+
+def _parts(folded: bytes) -> Iterator[bytes]:
+    """A folded text in parts of bounded size, cut between words."""
+    start = 0
+    while len(folded) - start > _CHUNK_CHARS:
+        cut = _OUTSIDE.search(folded, start + _CHUNK_CHARS)
+        if cut is None:
+            break
+        yield folded[start : cut.start()]
+        start = cut.start()
+    yield folded[start:]
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the number of words of each text."""
-    hashes, counts, part, size = [], [], [], 0
-    for text in texts:
-        part.append(fold(text))
-        size += len(part[-1]) + 1
-        if size > _CHUNK_CHARS:
-            h, n = _word_hashes(part)
-            hashes.append(h), counts.append(n)
-            part, size = [], 0
-    if part:
+    """Hashes of all words in order, and the number of words of each text. Long texts are hashed in parts."""
+    hashes, counts, owners, part, size = [], [], [], [], 0
+
+    def flush() -> None:
         h, n = _word_hashes(part)
         hashes.append(h), counts.append(n)
-    if not counts:
+
+    for i, text in enumerate(texts):
+        for piece in _parts(fold(text)):
+            part.append(piece)
+            owners.append(i)
+            size += len(piece) + 1
+            if size > _CHUNK_CHARS:
+                flush()
+                part, size = [], 0
+    if part:
+        flush()
+    if not owners:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(counts)
+    per_text = np.bincount(owners, weights=np.concatenate(counts), minlength=len(texts)).astype(np.int64)
+    return np.concatenate(hashes), per_text
 
 
 @lru_cache(maxsize=8)

@@ -40,6 +40,12 @@ def test_spellings(spelled):
     assert abuse.score(f"você é um {spelled}, Fulano", abuse.Symbols())[0] >= 1
 
 
+def test_long_texts_are_scored_in_parts():
+    text = "Texto neutro. " * 10 + CASES[0] + " Texto neutro. " * 10 + CASES[9] + ". Fim"
+    assert "".join(abuse._parts(text, 40)) == text and len(list(abuse._parts(text, 40))) > 5
+    assert abuse.score(text * 2_000, abuse.Symbols())[2] == 4_000
+
+
 def test_rows_and_rates(spark):
     rows = [(1, CASES[0], "a"), (2, HARMLESS[0], "a"), (3, None, None), (4, "", "a"), (5, CASES[4] + " " + "texto neutro. " * 50_000, "b"), (1, CASES[0], "a"), (None, CASES[9], "b")]
     df = spark.createDataFrame([(*r, 0.5, "own") for r in rows], "doc_id long, text string, source string, score double, kind string")

@@ -272,6 +272,16 @@ def test_mix_edges(spark):
     assert sum(r.stop - r.start for r in rows) == 26 and report["a"].reached == 26
 
 
+def test_parts_have_the_tokens_of_the_whole():
+    import runpy
+
+    encoder = mixing._encoder("/opt/tokenizers/byte_bpe_multi_50k.tiktoken", runpy.run_path("/opt/tokenizers/__init__.py")["PATTERN"])
+    text = "Às vezes, a  reunião 12 durou\n\tmuito mais do que se pensava... é? " * 30
+    parts = list(mixing._parts(text, 50))
+    assert len(parts) > 10 and "".join(parts) == text
+    assert sum(len(encoder.encode_ordinary(p)) for p in parts) == len(encoder.encode_ordinary(text))
+
+
 def test_token_sizes(spark):
     import runpy
 

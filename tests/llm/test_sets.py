@@ -60,6 +60,14 @@ def test_word_hashes_follow_the_word_rule(texts):
         assert (h[i] == h[j]) == (flat[i] == flat[j])
 
 
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    texts = ["um dois, três " * 50, None, "x" * 90, "", "A-b " * 40]
+    whole = textvec.word_hashes(texts)
+    monkeypatch.setattr(textvec, "_CHUNK_CHARS", 17)
+    for a, b in zip(whole, textvec.word_hashes(texts)):
+        assert a.tolist() == b.tolist()
+
+
 def test_shingles_are_distinct_sorted_and_stay_inside_a_text():
     texts = ["a b c a b c", "", "a b", "c a b"]
     h, n = textvec.shingles(*textvec.word_hashes(texts), 3)

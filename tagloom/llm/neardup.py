@@ -5,8 +5,9 @@ prefix are neighbours in the sorted order. The prefix starts at ``max_depth`` va
 the threshold is met in some tree with probability ``recall`` (``plan_forest``). Every pair met is then verified on the
 whole sets.
 
-Only classes of equal sets take part. A neighbourhood of more than ``bucket`` classes is not paired up: its members go
-to an exact prefix-filter search instead, which loses no pair, so no cap drops a candidate.
+Only classes of equal sets take part. A neighbourhood of more than ``bucket`` classes is not paired up: its members are
+gathered into balls of sets that are similar by the triangle inequality, and the rest of their pairs is searched by an
+exact prefix filter, which loses no pair, so no cap drops a candidate.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tagloom.llm import textsets, textvec
 from tagloom.llm.prefixjoin import prefix_pairs
+from tagloom.operators.skew import join_unique
 from tagloom.plans.storage import stage
 
 
@@ -76,12 +78,18 @@ def forest_labels(sets: DataFrame, forest: Forest, seed: int = 5) -> DataFrame:
     return sets.select("id", "n", "sh").mapInArrow(run, f"label bigint, id {kind}, n int")
 
 
-def similar_pairs(reps: DataFrame, sets: DataFrame, threshold: float, recall: float, bucket: int, **plan) -> DataFrame:
-    """(a, b, na, nb, common) of representatives with similarity >= threshold, a < b."""
+def similar_pairs(reps: DataFrame, sets: DataFrame, threshold: float, recall: float, bucket: int, **plan) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, na, nb, common) of representatives with similarity >= threshold, a < b; and balls (id, ball).
+
+    Representatives in one ball are all similar to each other; their pairs are not listed. One minus the similarity is a
+    metric, so two sets that are both within half the allowed distance of the same centre are within all of it. Balls
+    are made in crowded neighbourhoods only.
+    """
     forest = plan_forest(threshold, recall, **plan)
+    around = Window.partitionBy("label")
     met = (
         forest_labels(reps, forest)
-        .withColumn("size", F.count("*").over(Window.partitionBy("label")))
+        .withColumn("size", F.count("*").over(around))
         .where(F.col("size") > 1)
     )
     met = stage(met, "forest")
@@ -89,21 +97,43 @@ def similar_pairs(reps: DataFrame, sets: DataFrame, threshold: float, recall: fl
     x, y = small.alias("x"), small.alias("y")
     pairs = (
         x.join(y, F.col("x.label") == F.col("y.label"))
-        .where((F.col("x.id") < F.col("y.id"))
-               & textsets.sizes_allow(threshold, F.col("x.n"), F.col("y.n")))
+        .where((F.col("x.id") < F.col("y.id")) & textsets.sizes_allow(threshold, F.col("x.n"), F.col("y.n")))
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     )
-    crowded = met.where(F.col("size") > bucket).select("id").distinct()
+    crowded = met.where(F.col("size") > bucket)
+    balls = reps.select("id", F.col("id").alias("ball")).limit(0)
     if not crowded.isEmpty():
-        pairs = pairs.unionByName(prefix_pairs(reps.join(crowded, "id", "left_semi"), threshold))
+        balls = stage(_balls(crowded, sets, threshold), "balls")
+        exact = prefix_pairs(reps.join(balls, "id"), threshold, apart="ball")
+        of_a, of_b = (balls.select(F.col("id").alias(c), F.col("ball").alias(f"ball_{c}")) for c in "ab")
+        apart = ~F.col("ball_a").eqNullSafe(F.col("ball_b")) | F.col("ball_a").isNull()
+        pairs = pairs.unionByName(exact).distinct().join(of_a, "a", "left").join(of_b, "b", "left").where(apart).select("a", "b")
     found = textsets.verify(pairs.distinct(), sets)
     # a table of the links alone: whoever reads it twice does not search twice
-    return stage(found.where(textsets.at_least(threshold, F.col("na"), F.col("nb"), F.col("common"))), "pairs")
+    return stage(found.where(textsets.at_least(threshold, F.col("na"), F.col("nb"), F.col("common"))), "pairs"), balls
+
+
+def _balls(crowded: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, ball) of all members of crowded neighbourhoods; a member too far from its centre is a ball of its own.
+
+    The centre of a neighbourhood is the member that is in most crowded ones; each member takes the centre it met most.
+    """
+    crowded = crowded.select("label", "id")
+    known = crowded.join(crowded.groupBy("id").agg(F.count("*").alias("met")), "id")
+    centre = known.groupBy("label").agg(F.max(F.struct("met", "id")).alias("c")).select("label", F.col("c.id").alias("centre"))
+    voted = join_unique(crowded, centre, ["label"]).groupBy("id", "centre").agg(F.count("*").alias("votes"))
+    star = stage(voted.groupBy("id").agg(F.max(F.struct("votes", "centre")).alias("c")).select("id", F.col("c.centre").alias("centre")), "star")
+    spokes = star.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
+    # half the distance, rounded down
+    close = textsets.verify(spokes, sets, hot_left=True).where(
+        textsets.at_least((1 + threshold) / 2 + 1e-6, F.col("na"), F.col("nb"), F.col("common")))
+    return star.select("id").join(close.select(F.col("b").alias("id"), F.col("a").alias("ball")), "id", "left").select(
+        "id", F.coalesce("ball", "id").alias("ball"))
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, k: int = 5, threshold: float = 0.8,
-                    recall: float = 0.9999, bucket: int = 64, **plan) -> tuple[DataFrame, DataFrame]:
-    """Membership (id, rep) and pairs (a, b, na, nb, common) of class representatives at the threshold.
+                    recall: float = 0.9999, bucket: int = 64, **plan) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Membership (id, rep); pairs (a, b, na, nb, common) of class representatives at the threshold; balls (id, ball).
 
     One row per id with at least ``k`` words; texts with equal sets of ``k``-word sequences share a ``rep``. ``id``
     must be unique; rows with null id, null or empty text, or fewer than ``k`` words are in no class and no pair.
@@ -113,16 +143,26 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, k: int = 5, th
     sets = stage(textsets.text_sets(df.where(F.col(id_col).isNotNull()), id_col, text_col, k), "sets")
     cls = textsets.classes(sets)
     reps = sets.join(cls.select(F.col("rep").alias("id")), "id", "left_semi")
-    return textsets.members(sets, cls), similar_pairs(reps, sets, threshold, recall, bucket, **plan)
+    return textsets.members(sets, cls), *similar_pairs(reps, sets, threshold, recall, bucket, **plan)
+
+
+def links(pairs: DataFrame, balls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) that connect all similar representatives, and (rep, links): how many others each is similar to."""
+    edges = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(balls.where("id <> ball").select(F.col("ball").alias("u"), F.col("id").alias("v")))
+    mates = balls.join(balls.groupBy("ball").agg((F.count("*") - 1).alias("links")), "ball").select(F.col("id").alias("rep"), "links")
+    listed = pairs.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("bigint").alias("links"))
+    return edges, listed.unionByName(mates).groupBy("rep").agg(F.sum("links").alias("links"))
 
 
-def expand(member: DataFrame, pairs: DataFrame) -> DataFrame:
-    """All pairs of ids (a < b): those between similar classes and those within one class.
+def expand(member: DataFrame, pairs: DataFrame, balls: DataFrame) -> DataFrame:
+    """All pairs of ids (a < b): those between similar classes, in one ball or listed, and those within one class.
 
     Only for results that must name every pair; the number of rows is the size of that result, not of a search.
     """
     left, right = member.select(F.col("id").alias("i"), F.col("rep").alias("a")), member.select(F.col("id").alias("j"), F.col("rep").alias("b"))
-    across = pairs.select("a", "b").join(left, "a").join(right, "b")
+    x, y = balls.alias("x"), balls.alias("y")
+    mates = x.join(y, (F.col("x.ball") == F.col("y.ball")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    across = pairs.select("a", "b").unionByName(mates).join(left, "a").join(right, "b")
     within = left.join(right, (F.col("a") == F.col("b")) & (F.col("i") < F.col("j")))
     both = across.select("i", "j").unionByName(within.select("i", "j"))
     return both.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))

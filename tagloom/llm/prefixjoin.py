@@ -66,8 +66,8 @@ def prefixes(sets: DataFrame, threshold: float, hits: int, frequent: tuple[np.nd
     return kept.mapInArrow(run, f"e bigint, {schema}")
 
 
-def shared_prefixes(left: DataFrame, right: DataFrame, threshold: float, hits: int, same_side: bool) -> DataFrame:
-    """(a, b) that share ``hits`` index entries and whose sizes allow the similarity.
+def shared_prefixes(left: DataFrame, right: DataFrame, threshold: float, hits: int, same_side: bool, apart: str | None = None) -> DataFrame:
+    """(a, b) that share ``hits`` index entries and whose sizes allow the similarity; not those with the same ``apart``.
 
     Sets smaller than ``hits`` can share fewer entries; for them all their shared entries are asked for instead.
     """
@@ -75,6 +75,8 @@ def shared_prefixes(left: DataFrame, right: DataFrame, threshold: float, hits: i
     need = f"(least(x.n, y.n) * {round(threshold * 1_000_000)}L + 999999L) div 1000000L"
     sizes = sizes_allow(threshold, F.col("x.n"), F.col("y.n"))
     order = F.col("x.id") < F.col("y.id") if same_side else F.col("x.id") != F.col("y.id")
+    if apart:
+        order = order & (F.col(f"x.{apart}") != F.col(f"y.{apart}"))
     return (
         x.join(y, F.col("x.e") == F.col("y.e")).where(sizes & order)
         .groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
@@ -84,7 +86,8 @@ def shared_prefixes(left: DataFrame, right: DataFrame, threshold: float, hits: i
     )
 
 
-def prefix_pairs(sets: DataFrame, threshold: float, hits: int = 4) -> DataFrame:
-    """Candidate pairs (a, b), a < b, among ``sets``: every pair at the threshold is among them."""
-    index = prefixes(sets, threshold, hits, frequent_elements(sets))
-    return shared_prefixes(index, index, threshold, hits, same_side=True)
+def prefix_pairs(sets: DataFrame, threshold: float, hits: int = 4, apart: str | None = None) -> DataFrame:
+    """Candidate pairs (a, b), a < b, among ``sets``: every pair at the threshold is among them, but for those with
+    the same value of the column ``apart`` (never null), if one is named."""
+    index = prefixes(sets, threshold, hits, frequent_elements(sets), [apart] if apart else [])
+    return shared_prefixes(index, index, threshold, hits, same_side=True, apart=apart)

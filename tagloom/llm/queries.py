@@ -144,7 +144,7 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(p5_overlaps(spark, d), origin)
 
 
-def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return neardup.near_duplicates(_acts(spark, d), "act_id", "text", k=3, threshold=0.5)
 
 
@@ -155,9 +155,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row per act with at least three words: its group and its number of similar classes."""
-    member, pairs = _near(spark, d)
-    links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    labels, _ = grouped_split.spanning_forest(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    member, pairs, balls = _near(spark, d)
+    edges, links = neardup.links(pairs, balls)
+    labels, _ = grouped_split.spanning_forest(edges)
     return (
         member.join(links, "rep", "left").join(labels.withColumnRenamed("v", "rep"), "rep", "left")
         .select(F.col("id").alias("act_id"), F.coalesce("root", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))

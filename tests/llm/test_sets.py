@@ -80,8 +80,8 @@ def test_shingles_are_distinct_sorted_and_stay_inside_a_text():
 def test_near_duplicates_equal_brute_force(spark, k, threshold, bucket):
     rows = corpus(k)
     df = spark.createDataFrame([(i, t, "other", 1.5) for i, t in rows], "id long, text string, n string, sh double")  # clashing extra columns
-    member, pairs = neardup.near_duplicates(df, "id", "text", k=k, threshold=threshold, bucket=bucket, recall=0.999999, most_trees=400)
-    got = [tuple(r) for r in neardup.expand(member, pairs).collect()]
+    member, pairs, balls = neardup.near_duplicates(df, "id", "text", k=k, threshold=threshold, bucket=bucket, recall=0.999999, most_trees=400)
+    got = [tuple(r) for r in neardup.expand(member, pairs, balls).collect()]
     assert len(got) == len(set(got))
     assert set(got) == similar(rows, k, threshold)
     reps = {r.id: r.rep for r in member.collect()}
@@ -91,8 +91,37 @@ def test_near_duplicates_equal_brute_force(spark, k, threshold, bucket):
 
 def test_near_duplicates_of_nothing(spark):
     empty = spark.createDataFrame([], "id long, text string")
-    member, pairs = neardup.near_duplicates(empty, "id", "text")
-    assert (member.count(), pairs.count()) == (0, 0)
+    member, pairs, balls = neardup.near_duplicates(empty, "id", "text")
+    assert (member.count(), pairs.count(), balls.count()) == (0, 0, 0)
+
+
+@pytest.mark.parametrize(("k", "threshold"), [(3, 0.5), (5, 0.8)])
+def test_a_crowd_of_near_copies(spark, k, threshold):
+    """A third of the texts are variants of one text: balls, the exact search and the rest together lose nothing."""
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(70)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 4, 7])):
+            w[rng.randrange(70)] = f"z{rng.randrange(500)}"
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, t) for i, t in corpus(3, 60) if i is not None and t]
+    df = spark.createDataFrame(rows, "id long, text string")
+    member, pairs, balls = neardup.near_duplicates(df, "id", "text", k=k, threshold=threshold, bucket=8, recall=0.999999, most_trees=400)
+    got = [tuple(r) for r in neardup.expand(member, pairs, balls).collect()]
+    want = similar(rows, k, threshold)
+    assert len(got) == len(set(got)) and set(got) == want
+    assert balls.groupBy("ball").count().where("count > 5").count() > 0
+    assert pairs.count() < len(want) / 2, "pairs inside a ball are not listed"
+    reps = {r.id: r.rep for r in member.collect()}
+    edges, links = neardup.links(pairs, balls)
+    counted = {r.rep: r.links for r in links.collect() if r.links}
+    real = {}
+    for a, b in {(reps[a], reps[b]) for a, b in want if reps[a] != reps[b]}:
+        real.setdefault(a, set()).add(b), real.setdefault(b, set()).add(a)
+    assert counted == {r: len(o) for r, o in real.items()}
+    assert all((min(e), max(e)) in want for e in edges.collect())
 
 
 def test_forest_plan_reaches_its_recall():

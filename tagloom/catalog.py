@@ -160,14 +160,15 @@ def doc_counts(spark, d):
 
 def doc_order(spark, d):
     """Documents in order of first appearance: the rank of their smallest idx."""
-    docs = _doc_counts(spark, d).select("publication", "first_idx").withColumn("o", F.shiftleft("first_idx", 20))
+    docs = predictions(spark, d).where(F.col("publication").isNotNull()).groupBy("publication").agg(F.min("idx").alias("first_idx"))
+    docs = stage(docs, "docs").withColumn("o", F.shiftleft("first_idx", 20))
     return ranking.running(docs, [], "o", ["publication"], None, "place", bits=16).select("publication", "first_idx", "place")
 
 
 def _units(spark, d, unit):
     a, b = _pair(spark, d, [unit])
     sums = lambda t, m: t.where(F.col(unit).isNotNull()).groupBy(unit).agg(*[F.sum(c).alias(f"{c}_{m}") for c in ("tp", "n_pred", "n_gold")])
-    return sums(a, "a").join(sums(b, "b"), unit)
+    return stage(sums(a, "a").join(sums(b, "b"), unit), "units")
 
 
 def _replicates(spark, d):
@@ -185,7 +186,7 @@ def bootstrap_paired_delta(spark, d):
 
 
 def bootstrap_record_ci(spark, d):
-    counted = metrics.match_counts(predictions(spark, d), ["idx"]).select("idx", *[F.col(c).alias(f"{c}_a") for c in ("tp", "n_pred", "n_gold")])
+    counted = stage(metrics.match_counts(predictions(spark, d), ["idx"]).select("idx", *[F.col(c).alias(f"{c}_a") for c in ("tp", "n_pred", "n_gold")]), "counts")
     drawn = resample.draw_replicates(resample.numbered(counted, "idx"), 200, "record", ["a"])
     return _rounded(resample.order_interval(resample.replicate_f1(drawn, ["a"]), F.col("f1_a"), 200), "mean", "ci_lower", "ci_upper")
 
@@ -207,8 +208,8 @@ def bootstrap_poisson_ci(spark, d):
 
 
 def _split(spark, d):
-    docs = documents(spark, d).where(F.col("act").isNotNull()).select("act_id", "act", "publication", F.array_join("tokens", " ").alias("body"))
-    return splits.stratified_split(docs, "act", "body")
+    docs = documents(spark, d).where(F.col("act").isNotNull()).select("act_id", "act", splits.body_hash(F.col("tokens")).alias("body"))
+    return splits.stratified_split(stage(docs, "bodies"), "act", "body")
 
 
 def split_stratified(spark, d):
@@ -225,7 +226,7 @@ def record_counts(spark, d):
 
 def duplicate_bodies(spark, d):
     """Groups of documents of one act with equal text."""
-    docs = documents(spark, d).where(F.col("act").isNotNull()).select("act", "act_id", F.md5(F.array_join("tokens", " ")).alias("body"))
+    docs = documents(spark, d).where(F.col("act").isNotNull()).select("act", "act_id", splits.body_hash(F.col("tokens")).alias("body"))
     return docs.groupBy("act", "body").agg(F.count("*").alias("docs"), F.min("act_id").alias("first_act_id")).where("docs > 1")
 
 
@@ -277,11 +278,11 @@ def few_shot_demos(spark, d):
 
 
 def sample_fixed_n(spark, d):
-    return subsets.sample_n(predictions(spark, d).select("idx", "act", "entity_type"), "idx", 200, "sample")
+    return subsets.sample_n(stage(predictions(spark, d).select("idx", "act", "entity_type"), "ids"), "idx", 200, "sample")
 
 
 def train_fraction(spark, d):
-    train = instructions(spark, d).where("split = 'train'").select("record_id")
+    train = stage(instructions(spark, d).where("split = 'train'").select("record_id"), "train")
     return subsets.fraction(train, "record_id", 0.25, "fraction")
 
 

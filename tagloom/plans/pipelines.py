@@ -16,7 +16,7 @@ from tagloom.sources import records as io
 
 def build_dataset(spark: SparkSession, corpus: str, out: str, seed: int = 42) -> dict[str, Any]:
     """Annotated files to split CoNLL files, instruction records by split, entity schema and split statistics."""
-    docs = stage(conll.read_raw(spark, corpus).withColumn("body", F.array_join("tokens", " ")), "docs")
+    docs = stage(conll.read_raw(spark, corpus).withColumn("body", splits.body_hash(F.col("tokens"))), "docs")
     schema = records.schema_by_act(docs)
     placed = stage(splits.stratified_split(docs, "act", "body", seed=seed).drop("body"), "placed")
     for name in splits.SPLITS:

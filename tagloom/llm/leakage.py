@@ -77,21 +77,25 @@ class Index:
         return met
 
     def compare(self, words: np.ndarray, begin: int, end: int, item: int, shift: int, gap: int) -> tuple[int, int, int]:
-        """Longest exact run, words of the longest bridged stretch, and its replaced words, at one shift."""
+        """Longest exact run, words of the best bridged stretch, and its replaced words, at one shift.
+
+        An equal word counts one for a stretch, a replaced one three against it, so at least three quarters of a
+        stretch are equal; more than ``gap`` replaced words in a row end it. The best has the highest count.
+        """
         a, b = int(self.offsets[item]), int(self.offsets[item + 1])
         lo, hi = max(a, begin - shift), min(b, end - shift)
         equal = self.words[lo:hi] == words[lo + shift : hi + shift]
         edge = np.flatnonzero(np.diff(np.r_[False, equal, False]))
-        runs = list(zip(edge[::2].tolist(), edge[1::2].tolist()))
-        exact = max((e - s for s, e in runs), default=0)
-        best = (0, 0)
-        start = last = same = 0
-        for k, (s, e) in enumerate(runs):
-            if k == 0 or s - last > gap:
-                start, same = s, 0
-            same, last = same + e - s, e
-            best = max(best, (e - start, -(e - start - same)))
-        return exact, best[0], -best[1]
+        exact, best = 0, (0, 0, 0)
+        start = last = count = same = 0
+        for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            lost = 3 * (s - last)
+            if s - last > gap or lost >= count:
+                start, count, same, lost = s, 0, 0, 0
+            count, same, last = count - lost + e - s, same + e - s, e
+            exact = max(exact, e - s)
+            best = max(best, (count, e - start, -(e - start - same)))
+        return exact, best[1], -best[2]
 
 
 def leaks(corpus: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -99,8 +103,8 @@ def leaks(corpus: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_c
     """(doc_id, item_id, exact_words, overlap_words, replaced): every text that meets an item, with its best overlap.
 
     ``exact_words`` is the longest run of words common to both; ``overlap_words`` the longest common stretch in which
-    at most ``gap`` words in a row are replaced, ``replaced`` the replaced words inside it. Rows are kept from 12
-    overlapping words on, of which at least three quarters must be equal. Null or empty texts and texts of fewer than
+    at most ``gap`` words in a row and a quarter of all are replaced, ``replaced`` the replaced words inside it. Rows are
+    kept from 12 overlapping words on. Null or empty texts and texts of fewer than
     12 words meet nothing; items repeated under another id are all reported; rows with null id keep the null; other
     columns are ignored. Without items or texts the result is empty.
     """
@@ -125,7 +129,7 @@ def leaks(corpus: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_c
                 off, best = textvec.offsets(counts), {}
                 for d, item, shift in index.scan(words, counts):
                     exact, span, replaced = index.compare(words, off[d], off[d + 1], item, shift, gap)
-                    if span >= SPAN and 4 * replaced <= span:
+                    if span >= SPAN:
                         was = best.get((d, item), (0, 0, 0))
                         better = max((span, -replaced), (was[1], -was[2]))
                         best[d, item] = (max(exact, was[0]), better[0], -better[1])

@@ -196,6 +196,15 @@ def test_leaks_tolerate_replaced_words(spark):
     assert leakage.leaks(df, empty).count() == 0 and leakage.leaks(df.limit(0), empty).count() == 0
 
 
+def test_chance_matches_around_a_run_do_not_hide_it(spark):
+    item = " ".join(f"q{i}" for i in range(90))
+    for run in (range(30, 42), range(0, 12), range(78, 90)):
+        text = " ".join(f"q{i}" if i in run or i % 3 == 0 else f"x{i}" for i in range(90))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        r = leakage.leaks(df, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+        assert len(r) == 1 and r[0].exact_words >= 12 and 4 * r[0].replaced <= r[0].overlap_words
+
+
 def test_masks_are_met_by_every_exact_run():
     assert all(len(m) == leakage.SPAN and m[0] == m[-1] == "1" for m in leakage.MASKS)
     assert len({m.count("1") for m in leakage.MASKS}) == 1

@@ -121,9 +121,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _acts(spark: SparkSession, d: str) -> DataFrame:
-    """(act_id, text, split): one row per act; its text is the first delivered one that is not blank."""
+    """(act_id, text, split): one row per act; its text is the first record's that has any letter or digit."""
     r = _records(spark, d)
-    text = F.when(F.trim("input") != "", F.col("input"))
+    text = F.when(F.col("input").rlike(r"[\p{L}\p{N}]"), F.col("input"))
     return (
         r.where(F.col("act_id").isNotNull()).groupBy("act_id")
         .agg(F.min_by(text, F.when(text.isNotNull(), F.col("record_id"))).alias("text"), F.max(split_key(F.col("split"))).alias("split"))

@@ -26,7 +26,7 @@ WITH cell AS (
 #: Words, and distinct three-word sequences by act, with the split of the act.
 _ACTS = rf"""
 WITH act AS (
-  SELECT act_id, arg_min(input, record_id) FILTER (trim(input) <> '') AS text, max({_SPLIT}) AS split
+  SELECT act_id, arg_min(input, record_id) FILTER (regexp_matches(input, '[\p{{L}}\p{{N}}]')) AS text, max({_SPLIT}) AS split
   FROM gner_records WHERE act_id IS NOT NULL GROUP BY act_id
 ), word AS (
   SELECT act_id, split, list_filter(regexp_split_to_array(regexp_replace(strip_accents(lower(text)), '\p{{Mn}}', '', 'g'), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM act

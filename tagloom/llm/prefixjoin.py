@@ -21,7 +21,7 @@ from tagloom.llm.textsets import sizes_allow
 _LOW = 0x7FFFFFFF
 
 
-def frequent_elements(sets: DataFrame, most: int = 200_000, least: int = 6) -> tuple[np.ndarray, np.ndarray]:
+def frequent_elements(sets: DataFrame, most: int = 200_000, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """The ``most`` most frequent elements (31 bits of each) and their counts over all sets, sorted by element."""
     short = sets.select(F.explode("sh").alias("e")).select(F.col("e").bitwiseAND(_LOW).cast("int").alias("e"))
     top = (

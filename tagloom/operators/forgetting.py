@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.operators.metrics import ratio  # noqa: F401
-
 
 def first_available(metrics: Column, keys: list[str]) -> Column:
     """The first of ``keys`` that the metric map has a value for; null if none."""

@@ -76,7 +76,12 @@ def chars(col: Column) -> Column:
     return F.coalesce(F.char_length(col), F.lit(0))
 
 
+def hash_hex(*parts: Column | str) -> Column:
+    """The first 13 hex digits (52 bits) of the parts' MD5; they compare as strings like the number they stand for."""
+    text = F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    return F.substring(F.md5(text), 1, 13)
+
+
 def hash52(*parts: Column | str) -> Column:
     """52 uniform bits of the parts' MD5: the same integer in any engine that has MD5, whatever the partitioning."""
-    text = F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+    return F.conv(hash_hex(*parts), 16, 10).cast("bigint")

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.text import hash52
+from tagloom.functions.text import hash52, hash_hex
 from tagloom.operators.metrics import f1
 from tagloom.operators.ranking import running
 from tagloom.plans.storage import stage
@@ -46,8 +46,9 @@ def draw_replicates(units: DataFrame, iterations: int, seed: str, models: list[s
 
 
 def poisson_weight(h: Column) -> Column:
-    """A Poisson(1) count from a 52-bit hash."""
-    return sum((F.when(h >= e, 1).otherwise(0) for e in EDGES[1:]), F.when(h >= EDGES[0], 1).otherwise(0))
+    """A Poisson(1) count from 13 hex digits of a hash."""
+    above = [F.when(h >= f"{e:013x}", 1).otherwise(0) for e in EDGES]
+    return sum(above[1:], above[0])
 
 
 def poisson_replicates(units: DataFrame, unit: str, iterations: int, seed: str, models: list[str]) -> DataFrame:
@@ -56,7 +57,8 @@ def poisson_replicates(units: DataFrame, unit: str, iterations: int, seed: str,
     # the rows multiply by the iterations: spread them before, whatever the size of the count table
     spread = units.repartition(units.sparkSession.sparkContext.defaultParallelism, unit)
     each = spread.select(unit, *columns, F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("it"))
-    weighted = each.withColumn("w", poisson_weight(hash52(seed, F.col("it"), F.col(unit)))).where("w > 0")
+    each = each.withColumn("h", hash_hex(seed, F.col("it"), F.col(unit)))
+    weighted = each.withColumn("w", poisson_weight(F.col("h"))).where("w > 0")
     return weighted.groupBy("it").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in columns])
 
 

@@ -84,7 +84,7 @@ def test_bootstrap_designs_agree(spark):
 
 
 def test_poisson_weight_has_mean_one(spark):
-    from tagloom.functions.text import hash52
+    from tagloom.functions.text import hash_hex
 
-    w = spark.range(20_000).select(resample.poisson_weight(hash52("x", F.col("id"))).alias("w")).agg(F.avg("w").alias("m"), F.var_pop("w").alias("v")).first()
+    w = spark.range(20_000).select(resample.poisson_weight(hash_hex("x", F.col("id"))).alias("w")).agg(F.avg("w").alias("m"), F.var_pop("w").alias("v")).first()
     assert abs(w.m - 1) < 0.03 and abs(w.v - 1) < 0.06

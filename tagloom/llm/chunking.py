@@ -47,7 +47,7 @@ def cores(text: str, most: int) -> list[tuple[int, int]]:
             out.append((a, b))
             continue
         mid, quarter = (a + b) // 2, (b - a) // 4
-        lo, hi = np.searchsorted(places, a + quarter, "left"), np.searchsorted(places, b - quarter, "right")
+        lo, hi = np.searchsorted(places, a + max(quarter, 1), "left"), np.searchsorted(places, b - max(quarter, 1), "right")
         if lo == hi:  # nothing near the middle: any boundary inside
             lo, hi = np.searchsorted(places, a, "right"), np.searchsorted(places, b, "left")
         if lo < hi:

@@ -340,8 +340,10 @@ LEXICON |= {
     "SON": "filho filha filhos", "BORE": "pariu", "LEFTOUT": "saiu surgiu",
 }
 
-# Lexicon words of ordinary notices, which alone are no reason to look at a clause.
-USUAL = "despacho casa contrato ficou posta pediu pede onibus passa ocupar pessoal ar mapa ter turma peso papel foto pago cara corpo pagar volta"
+#: Classes of ordinary notices: a pattern is looked for by a class outside these, where it has one. This decides the cost only.
+ORDINARY = (
+    "YOU POSS THIS THATF BE ALWAYS ART DEF OF NOT NEITHER ALL ONLY WHAT SELF IN WITH AND MY HAS NAME JOB REPORT NOTICE HOUR ANY SAME "
+    "UNTIL GIVE I PLACE LIKE SERVICE BEST SALARY MONEY LOT STAMP TRICK DUMB NORIGHT CHEFIA WORSHIP CREED LIVE WHERE NOBODY MORE FEEL QUEUE")
 
 #: Look-alike letters of other scripts, in the order of their Latin letters.
 _ALIKE = str.maketrans("аеорсухіѕјһԁԛԝɡοαεικνρτυχ", "aeopcyxisjhdqwgoaeikvptux")
@@ -476,26 +478,34 @@ def _machines() -> tuple[tuple[str, float, re.Pattern], ...]:
 
 
 @lru_cache(maxsize=1)
-def _contexts() -> tuple[re.Pattern, re.Pattern, frozenset]:
+def _contexts() -> tuple[re.Pattern, re.Pattern]:
     _, of_class = _alphabet()
-    common = set("".join(of_class[c] for c in (
-        "YOU POSS THIS THATF BE ALWAYS ART DEF OF NOT NEITHER ALL ONLY WHAT SELF IN WITH AND MY HAS NAME JOB REPORT NOTICE HOUR ANY SAME "
-        "UNTIL GIVE I PLACE LIKE SERVICE BEST SALARY MONEY LOT STAMP TRICK DUMB NORIGHT CHEFIA WORSHIP CREED LIVE WHERE NOBODY MORE FEEL QUEUE").split()))
-    of_word, _ = _alphabet()
-    usual = {of_word[_RUN.sub(r"\1", w)] for w in USUAL.split()}
-    rare = frozenset("".join(of_class.values())) - common - usual
-    return re.compile(f"[{of_class['REPORT']}]"), re.compile(f"[{of_class['NOTICE']}]"), rare
+    return re.compile(f"[{of_class['REPORT']}]"), re.compile(f"[{of_class['NOTICE']}]")
+
+
+@lru_cache(maxsize=1)
+def _needed() -> dict[str, tuple[int, ...]]:
+    """The patterns to try by symbol. Each is listed under all symbols of one class it can't match without, so none is missed."""
+    _, of_class = _alphabet()
+    ordinary = set("".join(of_class[c] for c in ORDINARY.split()))
+    out: dict[str, tuple[int, ...]] = {}
+    for i, (_, _, pattern) in enumerate(GRAMMAR):
+        units = ["".join(of_class[n] for n in u.split("|")) for u in pattern.split() if u not in (",", "END", "START") and u[0] not in "*("]
+        for c in set(min(units, key=lambda u: (len(ordinary & set(u)), len(set(u))))):
+            out[c] = (*out.get(c, ()), i)
+    return out
 
 
 def clauses(symbols: str) -> Iterator[tuple[float, str]]:
     """Fourth transducer: (score, kind) of every clause that scores, kind being its heaviest."""
-    report, notice, rare = _contexts()
+    (report, notice), needed, machines = _contexts(), _needed(), _machines()
     for clause in symbols.split(STOP):
-        if rare.isdisjoint(clause):
+        tried = {i for c in set(clause) if c in needed for i in needed[c]}
+        if not tried:
             continue
         quotes = [i for i, c in enumerate(clause) if c == QUOTE]
         by_kind: dict[str, float] = {}
-        for kind, weight, machine in _machines():
+        for kind, weight, machine in map(machines.__getitem__, sorted(tried)):
             hit = machine.search(clause)
             if hit is None:
                 continue

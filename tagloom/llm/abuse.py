@@ -5,13 +5,15 @@ digits for letters, masked letters and repeated letters are undone. Words to sym
 small alphabet of lexical classes, everything unknown one filler symbol. Symbols to events: weighted patterns of an
 insult with its target, a threat with its victim, a wish of death, a group with its debasement, a sexual act or an
 offer. Events to scores: an event inside quotation marks or a clause of reported speech, official notice or negation
-loses most of its weight. A clause's score is the sum of its events; single words score nothing.
+loses most of its weight. A clause's score is the sum of its events, each pattern counting once, by its match that loses
+least; single words score nothing.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -496,9 +498,24 @@ def _needed() -> dict[str, tuple[int, ...]]:
     return out
 
 
+def _kept(clause: str, quotes: list[int], hit: re.Match) -> float:
+    """The share of its weight that a match keeps: less inside quotation marks, near a report's words or a notice's.
+
+    A report's word before a quotation that is closed again has its speech there, and takes nothing from what follows.
+    """
+    report, notice = _contexts()
+    before, start, end = bisect_left(quotes, hit.start()), max(0, hit.start() - 15), hit.end() + 4
+    kept = 1.0
+    if before % 2:
+        kept = 0.1 if report.search(clause) else 0.5
+    elif quotes and report.search(clause, max(start, quotes[before - 1] if before else 0), end):
+        kept = 0.1
+    return kept * 0.2 if notice.search(clause, start, end) else kept
+
+
 def clauses(symbols: str) -> Iterator[tuple[float, str]]:
     """Fourth transducer: (score, kind) of every clause that scores, kind being its heaviest."""
-    (report, notice), needed, machines = _contexts(), _needed(), _machines()
+    needed, machines = _needed(), _machines()
     for clause in symbols.split(STOP):
         tried = {i for c in set(clause) if c in needed for i in needed[c]}
         if not tried:
@@ -506,19 +523,12 @@ def clauses(symbols: str) -> Iterator[tuple[float, str]]:
         quotes = [i for i, c in enumerate(clause) if c == QUOTE]
         by_kind: dict[str, float] = {}
         for kind, weight, machine in map(machines.__getitem__, sorted(tried)):
-            hit = machine.search(clause)
-            if hit is None:
-                continue
-            inside = sum(i < hit.start() for i in quotes) % 2 == 1
-            around = clause[max(0, hit.start() - 15) : hit.end() + 4]
-            factor = 1.0
-            if inside:
-                factor = 0.1 if report.search(clause) else 0.5
-            elif quotes and report.search(around):
-                factor = 0.1
-            if notice.search(around):
-                factor *= 0.2
-            by_kind[kind] = by_kind.get(kind, 0.0) + weight * factor
+            kept, hit = 0.0, machine.search(clause)
+            while hit is not None and kept < 1:  # matches may overlap: the next one starts anywhere after this one's start
+                kept = max(kept, _kept(clause, quotes, hit))
+                hit = machine.search(clause, hit.start() + 1)
+            if kept:
+                by_kind[kind] = by_kind.get(kind, 0.0) + weight * kept
         if by_kind:
             yield sum(by_kind.values()), max(by_kind, key=by_kind.get)
 

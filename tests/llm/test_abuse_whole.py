@@ -49,3 +49,32 @@ def test_every_pattern_alone_scores():
 def test_usual_words_do_not_hide_their_class():
     assert abuse.score("povo daquela seita é tudo raça ruim", abuse.Symbols())[::2] == (2.0, 1)
     assert abuse.score("manda foto íntima que eu libero o teu processo", abuse.Symbols())[0] >= 1
+
+
+def _score(text: str) -> float:
+    return abuse.score(text, abuse.Symbols())[0]
+
+
+def test_a_quoted_match_does_not_hide_a_later_one():
+    assert _score('Disse "você é um idiota"') < 1
+    assert _score('Disse "você é um idiota" e eu repito que você é um idiota mesmo') >= 1
+    assert _score('"você é um idiota" e eu acho isso também, pois você é um idiota') >= 1
+    assert _score('Disse "você é um idiota" e depois "você é um idiota"') < 1
+
+
+def test_a_notice_does_not_hide_a_later_match():
+    mention = "o relatório diz que você é um idiota"
+    far = " mesa" * 20
+    assert _score(mention) < 1
+    assert _score(mention + far) < 1
+    assert _score(mention + far + " você é um idiota") >= 1
+
+
+def test_a_pattern_counts_once_a_clause():
+    once, twice = (_score("cala a boca" + end) for end in (" agora", " agora, cala a boca"))
+    assert once == twice == 0.6
+
+
+def test_many_matches_in_one_long_clause():
+    text = 'Disse "' + "você é um idiota " * 10_000
+    assert _score(text) < 1

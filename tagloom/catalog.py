@@ -171,39 +171,62 @@ def _units(spark, d, unit):
     return stage(sums(a, "a").join(sums(b, "b"), unit), "units")
 
 
-def _replicates(spark, d):
+def _replicates(spark, d, iterations):
     units = resample.numbered(_units(spark, d, "publication"), "publication")
-    return resample.replicate_f1(resample.draw_replicates(units, 200, "boot", ["a", "b"]), ["a", "b"])
+    return resample.replicate_f1(resample.draw_replicates(units, iterations, "boot", ["a", "b"]), ["a", "b"])
 
 
-def bootstrap_cluster_ci(spark, d):
-    return _rounded(resample.percentile_interval(_replicates(spark, d), F.col("f1_a")), "mean", "lo", "hi")
+def bootstrap_cluster_ci(spark, d, iterations=200):
+    return _rounded(resample.percentile_interval(_replicates(spark, d, iterations), F.col("f1_a")), "mean", "lo", "hi")
 
 
-def bootstrap_paired_delta(spark, d):
-    ci = resample.percentile_interval(_replicates(spark, d), F.col("f1_a") - F.col("f1_b"))
+def bootstrap_paired_delta(spark, d, iterations=200):
+    ci = resample.percentile_interval(_replicates(spark, d, iterations), F.col("f1_a") - F.col("f1_b"))
     return _rounded(ci.withColumn("supported", F.col("lo") > 0), "mean", "lo", "hi")
 
 
-def bootstrap_record_ci(spark, d):
+def bootstrap_record_ci(spark, d, iterations=200):
     counted = stage(metrics.match_counts(predictions(spark, d), ["idx"]).select("idx", *[F.col(c).alias(f"{c}_a") for c in ("tp", "n_pred", "n_gold")]), "counts")
-    drawn = resample.draw_replicates(resample.numbered(counted, "idx"), 200, "record", ["a"])
-    return _rounded(resample.order_interval(resample.replicate_f1(drawn, ["a"]), F.col("f1_a"), 200), "mean", "ci_lower", "ci_upper")
+    drawn = resample.draw_replicates(resample.numbered(counted, "idx"), iterations, "record", ["a"])
+    return _rounded(resample.order_interval(resample.replicate_f1(drawn, ["a"]), F.col("f1_a"), iterations), "mean", "ci_lower", "ci_upper")
 
 
-def bootstrap_record_delta(spark, d):
+def bootstrap_record_delta(spark, d, iterations=200):
     """Paired record bootstrap of two models: mean and interval of the difference, and whether it is all positive."""
     units = resample.numbered(_units(spark, d, "idx"), "idx")
-    drawn = resample.replicate_f1(resample.draw_replicates(units, 200, "record", ["a", "b"]), ["a", "b"])
-    ci = resample.order_interval(drawn, F.col("f1_a") - F.col("f1_b"), 200)
+    drawn = resample.replicate_f1(resample.draw_replicates(units, iterations, "record", ["a", "b"]), ["a", "b"])
+    ci = resample.order_interval(drawn, F.col("f1_a") - F.col("f1_b"), iterations)
     return _rounded(ci.withColumn("supported", F.col("ci_lower") > 0), "mean", "ci_lower", "ci_upper")
 
 
-def bootstrap_poisson_ci(spark, d):
-    drawn = resample.poisson_replicates(_units(spark, d, "idx"), "idx", 200, "poisson", ["a", "b"])
+def bootstrap_poisson_ci(spark, d, iterations=200):
+    drawn = resample.poisson_replicates(_units(spark, d, "idx"), "idx", iterations, "poisson", ["a", "b"])
     return _rounded(resample.percentile_interval(resample.replicate_f1(drawn, ["a", "b"]), F.col("f1_a") - F.col("f1_b")), "mean", "lo", "hi")
 
 
+# The same with the reference's 1,000 replicates; 200 are what the SQL of the names above fixes.
+
+
+def bootstrap_cluster_ci_1000(spark, d):
+    return bootstrap_cluster_ci(spark, d, 1000)
+
+
+def bootstrap_paired_delta_1000(spark, d):
+    return bootstrap_paired_delta(spark, d, 1000)
+
+
+def bootstrap_record_ci_1000(spark, d):
+    return bootstrap_record_ci(spark, d, 1000)
+
+
+def bootstrap_record_delta_1000(spark, d):
+    return bootstrap_record_delta(spark, d, 1000)
+
+
+def bootstrap_poisson_ci_1000(spark, d):
+    return bootstrap_poisson_ci(spark, d, 1000)
+
+
 # data set building ----------------------------------------------------------------------------------------------------
 
 
@@ -423,7 +446,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         span_decode_strict, span_decode_lenient, span_decode_window, ner_f1_overall, ner_f1_by_act, ner_f1_by_entity, ner_class_report,
         ner_counts_by_act_support, ner_counts_by_type_support, ner_error_decomposition, ner_template_types, ner_error_decomposition_subset,
         ner_compare_delta, ner_weighted_gap, doc_counts, doc_order, bootstrap_cluster_ci, bootstrap_paired_delta, bootstrap_record_ci,
-        bootstrap_record_delta, bootstrap_poisson_ci, split_stratified, split_stats, record_counts, duplicate_bodies, entity_schema_by_act, gner_records, conll_render,
+        bootstrap_record_delta, bootstrap_poisson_ci, bootstrap_cluster_ci_1000, bootstrap_paired_delta_1000, bootstrap_record_ci_1000,
+        bootstrap_record_delta_1000, bootstrap_poisson_ci_1000, split_stratified, split_stats, record_counts, duplicate_bodies, entity_schema_by_act, gner_records, conll_render,
         parse_inline_bio, parse_inline_bio_align, slice_to_entity_join, slice_unmatched, few_shot_demos, sample_fixed_n, train_fraction,
         limit_prefix, benchmark_scores, benchmark_first_metric, forgetting_delta, forgetting_bench_summary, forgetting_seed_summary,
         run_registry_files, checkpoint_candidates, checkpoint_argmax, chat_render, teacher_prompt, few_shot_prompt, token_features, word_shape,

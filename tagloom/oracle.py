@@ -341,3 +341,7 @@ _ROUNDED = {
 }
 for _name, _columns in _ROUNDED.items():
     SQL[_name] = f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in _columns.split())}) FROM ({SQL[_name]})"
+
+# the bootstraps with 1,000 replicates: the same SQL, its order statistics at the places of 1,000
+for _name in ("cluster_ci", "paired_delta", "record_ci", "record_delta", "poisson_ci"):
+    SQL[f"bootstrap_{_name}_1000"] = SQL[f"bootstrap_{_name}"].replace("range(200)", "range(1000)").replace("[6]", "[26]").replace("[196]", "[976]")

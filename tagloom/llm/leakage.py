@@ -21,24 +21,29 @@ from pyspark.sql import functions as F
 
 from tagloom.llm import textvec
 
-#: Fixed masks of 12 words: 1 is hashed, 0 ignored. An unchanged run of 12 words meets all of them.
-MASKS = ("111011011011", "110110111101", "101111001111")
+#: Fixed masks of 12 words: 1 is hashed, 0 ignored. An unchanged run of 12 words meets all of them. Every stretch of 12 words
+#: or more that ``compare`` accepts (gap of at most 2) meets one at least; tests/llm/test_leakage_whole.py searches them all.
+MASKS = ("111011011011", "110110111101", "101111001111",
+         "111101010111", "111011011101", "111111101001", "111001110111", "101100111111",
+         "111101110011", "111001111101", "111110110011", "100111101111", "101011011111")
 SPAN = 12
 
 
-def seeds(words: np.ndarray, counts: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
-    """Seed hash at every window start, and the starts that do not reach over the end of their text."""
+def seeds(words: np.ndarray, counts: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """For each mask the seed hash at every window start, and the starts that do not reach over the end of their text."""
     m = len(words) - SPAN + 1
-    if m <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    places = [i for i, c in enumerate(mask) if c == "1"]
     c = textvec.constants(SPAN, 23)
-    h = np.zeros(m, np.uint64)
-    for i in places:
-        h = h + words[i : i + m] * c[i]
-    ends = np.repeat(np.cumsum(counts), counts)[:m]
-    starts = np.flatnonzero(np.arange(m) + SPAN <= ends)
-    return h[starts], starts
+    whole, starts = np.zeros(max(m, 0), np.uint64), np.empty(0, np.int64)
+    if m > 0:
+        for i in range(SPAN):
+            whole += words[i : i + m] * c[i]
+        ends = np.repeat(np.cumsum(counts), counts)[:m]
+        starts = np.flatnonzero(np.arange(m) + SPAN <= ends)
+    for mask in MASKS:
+        h = whole.copy()
+        for i in [i for i, x in enumerate(mask) if x == "0" and m > 0]:
+            h -= words[i : i + m] * c[i]
+        yield mask, h[starts], starts
 
 
 class Index:
@@ -52,22 +57,20 @@ class Index:
         self.ids = item_ids
         item = np.repeat(np.arange(len(counts)), counts)
         self.tables = []
-        for mask in MASKS:
-            h, at = seeds(self.words, counts, mask)
+        for _, h, at in seeds(self.words, counts):
             order = np.argsort(h, kind="stable")
             h, at = h[order], at[order]
             bits = np.zeros(1 << self.BITS, bool)
             bits[(textvec.mix_light(h) >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
-            self.tables.append((mask, h, at, item[at] if len(at) else at, bits))
+            self.tables.append((h, at, item[at] if len(at) else at, bits))
 
     def scan(self, words: np.ndarray, counts: np.ndarray) -> dict[tuple[int, int, int], None]:
         """Distinct (text, item, shift) of all hits; shift is word position in the batch minus that in the index."""
         met: dict[tuple[int, int, int], None] = {}
         doc = np.repeat(np.arange(len(counts)), counts)
-        for mask, h, at, item, bits in self.tables:
+        for (h, at, item, bits), (_, mine, starts) in zip(self.tables, seeds(words, counts)):
             if not len(h):
                 continue
-            mine, starts = seeds(words, counts, mask)
             maybe = np.flatnonzero(bits[(textvec.mix_light(mine) >> np.uint64(64 - self.BITS)).astype(np.int64)])
             mine, starts = mine[maybe], starts[maybe]
             lo, hi = np.searchsorted(h, mine, "left"), np.searchsorted(h, mine, "right")

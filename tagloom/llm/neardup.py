@@ -1,9 +1,9 @@
-"""Near-duplicate texts: MinHash LSH forest with exact verification.
+"""Near-duplicate texts: banded MinHash LSH with exact verification.
 
-Each of ``trees`` sorted tries holds the texts under a label of ``depth`` MinHash values; texts that share a label
-prefix are neighbours in the sorted order. The prefix starts at ``max_depth`` values and is shortened until a pair at
-the threshold is met in some tree with probability ``recall`` (``plan_forest``). Every pair met is then verified on the
-whole sets.
+Each of ``trees`` bands labels the texts with ``depth`` MinHash values; texts with equal labels in a band meet. There is
+no sorted trie and no shortening by what is found: one depth, at most ``max_depth``, is taken for all from the recall
+curve, so that a pair at the threshold is met in some band with probability ``recall`` (``plan_forest``). Every pair met
+is then verified on the whole sets.
 
 Only classes of equal sets take part. A neighbourhood of more than ``bucket`` classes is not paired up: its members are
 gathered into balls of sets that are similar by the triangle inequality, and the rest of their pairs is searched by an

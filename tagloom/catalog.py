@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions import bio, prompts, tokens
-from tagloom.functions.text import act_key, hash52, label_key, pub_no, split_key
+from tagloom.functions.text import act_key, hash52, label_key, pub_key, split_key
 from tagloom.operators import features, forgetting, metrics, predict, ranking, records, resample, selection, spans, splits, subsets
 from tagloom.oracle import SQL
 from tagloom.plans.storage import stage
@@ -27,21 +27,27 @@ GROUP_F1 = 0.9
 # cleaned tables -------------------------------------------------------------------------------------------------------
 
 
+def _publication() -> Column:
+    """Of several spellings of a record's publication the largest number, as digits of any length."""
+    key = pub_key(F.col("publication"))
+    return F.max(F.when(key.isNotNull(), F.struct(F.length(key), key.alias("key"))))["key"]
+
+
 def predictions(spark: SparkSession, d: str) -> DataFrame:
-    """One row per idx."""
+    """One row per idx; ``pub`` is the publication to compare and join by, ``publication`` its number."""
     t = table(spark, d, "predictions").where(F.col("idx").isNotNull())
     return t.groupBy("idx").agg(
-        F.max(pub_no(F.col("publication"))).alias("publication"), F.max(act_key(F.col("act"))).alias("act"),
+        _publication().alias("pub"), F.max(act_key(F.col("act"))).alias("act"),
         F.max(label_key(F.col("entity_type"))).alias("entity_type"), F.max("is_negative").alias("is_negative"),
-        F.min("gold").alias("gold"), F.min("pred").alias("pred"), F.max("gen").alias("gen"))
+        F.min("gold").alias("gold"), F.min("pred").alias("pred"), F.max("gen").alias("gen")).withColumn("publication", F.col("pub").try_cast("bigint"))
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """One row per act_id of the annotated documents."""
     t = table(spark, d, "act_documents").where(F.col("act_id").isNotNull())
     return t.groupBy("act_id").agg(
-        F.max(act_key(F.col("act"))).alias("act"), F.max(pub_no(F.col("publication"))).alias("publication"),
-        F.min(F.struct("tokens", "tags")).alias("m")).select("act_id", "act", "publication", "m.tokens", "m.tags")
+        F.max(act_key(F.col("act"))).alias("act"), _publication().alias("pub"), F.min(F.struct("tokens", "tags")).alias("m")).select(
+        "act_id", "act", "pub", F.col("pub").try_cast("bigint").alias("publication"), "m.tokens", "m.tags")
 
 
 def instructions(spark: SparkSession, d: str) -> DataFrame:
@@ -49,18 +55,19 @@ def instructions(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "gner_records").where(F.col("record_id").isNotNull())
     return t.groupBy("record_id").agg(
         F.max("act_id").alias("act_id"), F.max(act_key(F.col("act"))).alias("act"), F.max(label_key(F.col("entity_type"))).alias("entity_type"),
-        F.max(pub_no(F.col("publication"))).alias("publication"), F.max("is_negative").alias("is_negative"),
+        _publication().try_cast("bigint").alias("publication"), F.max("is_negative").alias("is_negative"),
         F.max(split_key(F.col("split"))).alias("split"), F.max("instruction").alias("instruction"),
         F.max("instruction_fmt").alias("instruction_fmt"), F.max("input").alias("input"), F.max("output").alias("output"))
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
-    return documents(spark, d).select("publication", "act", "act_id", F.col("tags").alias("labels"))
+    return documents(spark, d).select("pub", "act", "act_id", F.col("tags").alias("labels"))
 
 
 def _second_model(spark: SparkSession, d: str) -> DataFrame:
     """Predictions of a document-level model, sliced to the records of the first: its labels are the document tags."""
-    return predict.slice_documents(predictions(spark, d).drop("pred"), _labels(spark, d), ["publication", "act"], "act_id")
+    asked = stage(predictions(spark, d).drop("pred", "gen"), "asked")
+    return predict.slice_documents(asked, _labels(spark, d), ["pub", "act"], "act_id")
 
 
 def _pair(spark: SparkSession, d: str, keys: list[str]) -> tuple[DataFrame, DataFrame]:

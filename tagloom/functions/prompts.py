@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from string import Formatter
+from typing import Protocol
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import WS
@@ -27,6 +30,12 @@ TURN = "<|im_start|>{role}\n{content}<|im_end|>"
 OPEN_TURN = "<|im_start|>assistant\n"
 
 
+class Encoder(Protocol):
+    def encode(self, text: str) -> list[int]: ...
+
+    def decode(self, tokens: list[int]) -> str: ...
+
+
 def pieces(template: str) -> list[tuple[str, str | None]]:
     """The fixed pieces of a template, each with the name of the place behind it."""
     return [(text, name) for text, name, _, _ in Formatter().parse(template)]
@@ -94,3 +103,25 @@ def keep_end(text: Column, most: int) -> Column:
     tokens = F.filter(F.split(text, rf"(?U){WS}+"), lambda t: t != "")
     n = F.least(F.size(tokens), F.lit(most))
     return F.when(F.size(tokens) > most, F.array_join(F.slice(tokens, F.size(tokens) - n + 1, n), " ")).otherwise(text)
+
+
+def keep_last_tokens(df: DataFrame, text: str, most: int, encoder: Callable[[], Encoder]) -> DataFrame:
+    """``df`` with ``text`` cut to its last ``most`` tokens of a tokenizer; null stays null.
+
+    ``encoder`` is called once in every worker and returns an object with ``encode`` and ``decode``, so any tokenizer
+    can be passed in. A cut inside a character leaves a replacement character.
+    """
+    schema = df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = encoder()
+
+        def cut(t: str | None) -> str | None:
+            ids = codec.encode(t) if t else []
+            return codec.decode(ids[-most:]) if len(ids) > most else t
+
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            yield batch.set_column(at, batch.schema.field(at), pa.array([cut(t) for t in batch.column(at).to_pylist()], pa.string()))
+
+    return df.mapInArrow(run, schema)

@@ -60,10 +60,18 @@ def split_key(col: Column) -> Column:
     return F.when(low.isin("valid", "validation"), F.lit("dev")).otherwise(low)
 
 
-def pub_no(col: Column) -> Column:
-    """All digits of a publication id as one integer; null when it has none or more than 18 of them."""
+def pub_key(col: Column) -> Column:
+    """All digits of a publication id without leading zeros, as text of any length; null when it has none."""
     digits = F.regexp_replace(F.regexp_replace(col, "[^0-9]", ""), "^0+(?=.)", "")
-    return F.when(F.length(digits).between(1, 18), digits.cast("bigint"))
+    return F.when(digits != "", digits)
+
+
+def pub_no(col: Column) -> Column:
+    """All digits of a publication id as one integer; null when it has none or they exceed a bigint.
+
+    For output only: publications are compared and joined by :func:`pub_key`, which knows no longest id.
+    """
+    return pub_key(col).try_cast("bigint")
 
 
 def source_key(col: Column) -> Column:

@@ -11,7 +11,8 @@ from tagloom.operators import features, forgetting, predict, ranking, records, s
 @pytest.mark.parametrize(("fn", "given", "want"), [
     (text.act_key, " Ato_Nomeação ", "nomeacao"), (text.act_key, "SEM_EFEITO", "sem_efeito"), (text.act_key, "Cessão", "cessao"),
     (text.label_key, "\tCargo ", "cargo"), (text.split_key, " Validation", "dev"), (text.split_key, "VALID", "dev"), (text.split_key, "Train ", "train"),
-    (text.pub_no, "DOX nº 00001001", 1001), (text.pub_no, "dox", None), (text.pub_no, "1" * 19, None), (text.pub_no, "0", 0),
+    (text.pub_no, "DOX nº 00001001", 1001), (text.pub_no, "dox", None), (text.pub_no, "1" * 19, int("1" * 19)), (text.pub_no, "9" * 19, None), (text.pub_no, "", None), (text.pub_key, "n. 00" + "7" * 25, "7" * 25),
+    (text.pub_key, "000", "0"), (text.pub_key, "x", None), (text.pub_key, None, None), (text.pub_no, "0", 0),
     (text.source_key, " Diario_Central ", "diario-central"), (text.source_key, "camara local", "camara-local"),
     (text.words, "Nº 12-Ação, é ÇA", ["n", "12", "acao", "e", "ca"]), (text.words, "", []), (text.chars, None, 0), (text.chars, "é😀", 2),
     (text.act_key, None, None),
@@ -58,6 +59,22 @@ def test_running_rank_and_sum_equal_a_window(spark):
     assert ranking.running(df.limit(0), ["k"], "h", ["id"], None, "r").count() == 0
 
 
+def test_ranges_grow_with_the_table():
+    assert ranking.bits_for(0) == ranking.bits_for(100_000_000) == 10
+    for rows in (10**9, 10**11, 10**14):
+        assert rows / 2 ** ranking.bits_for(rows) <= ranking.BIN_ROWS
+
+
+def test_one_huge_group_is_ranked_in_small_ranges(spark, monkeypatch):
+    """All rows in one group: no range is larger than a few times the stated number of rows."""
+    monkeypatch.setattr(ranking, "BIN_ROWS", 50)
+    df = spark.range(200_000).select(F.lit("k").alias("k"), F.col("id"), text.hash52("z", F.col("id")).alias("h"))
+    bits = ranking.bits_for(df.count())
+    assert df.groupBy(ranking.hash_bin("h", bits)).count().agg(F.max("count")).first()[0] < 200
+    got = ranking.running(df, ["k"], "h", ["id"], None, "r")
+    assert got.select("r").distinct().count() == 200_000 and got.agg(F.max("r")).first()[0] == 199_999
+
+
 def plain_split(groups):
     """Groups (size, in order) to splits by filling."""
     n = sum(groups)
@@ -164,6 +181,23 @@ def test_demonstrations_and_prompts(spark):
     assert t.select(prompts.keep_end(F.col("t"), 2).alias("x"), prompts.keep_end(F.col("t"), 4).alias("y")).first() == Row(x="c d", y="a  b c d")
 
 
+def test_prompts_are_cut_by_any_tokenizer(spark):
+    class Letters:
+        def encode(self, text):
+            return [ord(c) for c in text]
+
+        def decode(self, ids):
+            return "".join(map(chr, ids))
+
+    df = spark.createDataFrame([(1, "abcdef"), (2, "ab"), (3, None), (4, "")], "id int, p string")
+    assert {r.id: r.p for r in prompts.keep_last_tokens(df, "p", 3, Letters).collect()} == {1: "def", 2: "ab", 3: None, 4: ""}
+
+
+def test_last_result_by_path(spark):
+    df = spark.createDataFrame([("a", "r/2.json"), ("a", "r/10.json"), ("b", None), ("c", "x")], "run string, path string")
+    assert {r.run: r.path for r in selection.last_result(df, ["run"], "path").collect()} == {"a": "r/2.json", "c": "x"}
+
+
 def test_checkpoint_choice(spark):
     rows = [("a", s, f) for s, f in ((50, 0.9), (100, 0.9), (150, None))] + [("t", s, 0.1) for s in (40, 60, 150)]
     c = spark.createDataFrame(rows, "run string, step bigint, dev_f1 double")

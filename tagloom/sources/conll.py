@@ -1,19 +1,21 @@
-"""CoNLL files: one row per file, parsed by windows over its lines."""
+"""CoNLL files, read in blocks of lines: segments and their headers run on over the borders of blocks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import WS, strip
+from tagloom.plans.storage import stage
+from tagloom.sources.lines import carried, numbered, read_lines
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, n, line) of all lines; a file is read whole, which keeps its line order."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"), "value")
-    if files.isEmpty():
+    """The lines of all files, staged: several passes number them, and all must see the same blocks."""
+    found = read_lines(spark, path)
+    if not found.inputFiles():
         raise FileNotFoundError(f"no files match {path}")
-    return files.select("file", "name", F.posexplode(F.split("value", "\r\n|\r|\n")).alias("n", "line"))
+    return stage(found, "lines")
 
 
 def act_of_file(name):
@@ -27,13 +29,12 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     A blank line or a ``Publication:`` line closes a document; a blank line also forgets the publication. First and
     last field of a line are token and tag; a lone field is tagged ``O``. Documents without tokens are dropped.
     """
-    order = Window.partitionBy("file").orderBy("n")
     header = F.col("line").startswith("Publication:")
     marked = _lines(spark, path).withColumn("blank", strip(F.col("line")) == "").withColumn("header", header)
-    marked = marked.withColumn("doc", F.sum((F.col("blank") | F.col("header")).cast("int")).over(order))
+    marked = numbered(marked, F.col("blank") | F.col("header"), "doc", inclusive=True)
     fields = F.filter(F.split("line", rf"(?U){WS}+"), lambda x: x != "")
     parts = marked.withColumn("f", fields).withColumn("is_token", ~F.col("blank") & ~F.col("header"))
-    entry = F.struct("n", F.get("f", F.lit(0)).alias("k"), F.when(F.size("f") < 2, "O").otherwise(F.element_at("f", -1)).alias("g"))
+    entry = F.struct("block", "n", F.get("f", F.lit(0)).alias("k"), F.when(F.size("f") < 2, "O").otherwise(F.element_at("f", -1)).alias("g"))
     docs = parts.groupBy("file", "name", "doc").agg(
         F.max(F.when(F.col("header"), strip(F.regexp_extract("line", "^[^:]*:(.*)$", 1)))).alias("publication"),
         F.sort_array(F.collect_list(F.when(F.col("is_token"), entry))).alias("t"))
@@ -48,23 +49,18 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
     Blank and ``Act:`` lines close a segment; one closed by ``Act:`` is discarded. Publication and act carry on over
     blank lines. The last space of a line separates token and label; a line without one is an error.
     """
-    order = Window.partitionBy("file").orderBy("n")
     lines = _lines(spark, path).withColumns({
         "pub": F.when(F.col("line").startswith("Publication:"), strip(F.regexp_extract("line", "^[^:]*:(.*)$", 1))),
         "act": F.when(F.col("line").startswith("Act:"), strip(F.regexp_extract("line", "^[^:]*:(.*)$", 1)))})
     lines = lines.withColumns({
         "is_act": F.col("act").isNotNull(), "is_pub": F.col("pub").isNotNull(), "blank": F.col("pub").isNull() & F.col("act").isNull() & (strip(F.col("line")) == "")})
-    upto = order.rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumns({
-        "seg": F.coalesce(F.sum((F.col("blank") | F.col("is_act")).cast("int")).over(upto), F.lit(0)),
-        "pub": F.last("pub", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-        "act": F.last("act", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    lines = carried(numbered(lines, F.col("blank") | F.col("is_act"), "seg", inclusive=False), ["pub", "act"])
     is_token = ~F.col("blank") & ~F.col("is_act") & ~F.col("is_pub")
     label = F.regexp_extract("line", "^(.*) ([^ ]*)$", 2)
     checked = F.when(F.col("line").contains(" "), label).otherwise(F.raise_error(F.concat(F.lit("no label in line: "), F.col("line"))))
-    entry = F.struct("n", F.regexp_extract("line", "^(.*) ([^ ]*)$", 1).alias("k"), checked.alias("g"))
+    entry = F.struct("block", "n", F.regexp_extract("line", "^(.*) ([^ ]*)$", 1).alias("k"), checked.alias("g"))
     docs = lines.groupBy("file", "seg").agg(
-        F.max("is_act").alias("dropped"), F.max_by("pub", "n").alias("publication"), F.max_by("act", "n").alias("act"),
+        F.max("is_act").alias("dropped"), F.max_by("pub", F.struct("block", "n")).alias("publication"), F.max_by("act", F.struct("block", "n")).alias("act"),
         F.sort_array(F.collect_list(F.when(is_token, entry))).alias("t"))
     return docs.where(~F.col("dropped") & (F.size("t") > 0)).select(
         "file", F.col("seg").alias("seq"), "publication", "act", F.transform("t", lambda x: x["k"]).alias("tokens"), F.transform("t", lambda x: x["g"]).alias("tags"))

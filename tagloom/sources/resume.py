@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.sources.lines import read_lines
 from tagloom.sources.records import PREDICTION
 
 LOG = f"idx bigint, {PREDICTION}"
@@ -12,10 +13,8 @@ LOG = f"idx bigint, {PREDICTION}"
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """The last complete entry of each ``idx``; unreadable lines and lines without idx are skipped."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", "\r\n|\r|\n")).alias("n", "line"))
-    entries = lines.select("file", "n", F.from_json("line", LOG).alias("r")).where("r.idx is not null")
-    return entries.groupBy("r.idx").agg(F.max_by("r", F.struct("file", "n")).alias("r")).select("r.*")
+    entries = read_lines(spark, path).select("file", "block", "n", F.from_json("line", LOG).alias("r")).where("r.idx is not null")
+    return entries.groupBy("r.idx").agg(F.max_by("r", F.struct("file", "block", "n")).alias("r")).select("r.*")
 
 
 def append_log(done: DataFrame, path: str) -> None:

@@ -19,6 +19,29 @@ def test_raw_files(spark, tmp_path):
         ("Nomeacao", "p3", ["b"], ["B-a"]), ("Nomeacao", "p4", ["c"], ["O"])]
 
 
+@pytest.mark.parametrize("block", [16, 64])
+def test_files_in_many_blocks(spark, tmp_path, block):
+    """Files far larger than a block: documents, segments and headers run across the borders, and log order holds."""
+    (tmp_path / "Ato_X.conll").write_text("".join(f"Publication: p{i}\n" + "".join(f"t{i}.{j} _ O\n" for j in range(i % 7)) + "\n" * (i % 3) for i in range(60)))
+    (tmp_path / "train.conll").write_text("".join(f"Publication: p{i // 9}\nAct: A{i // 4}\n" * (i % 4 == 0) + f"a{i} O\nb{i} B-x\n\n" for i in range(60)))
+    (tmp_path / "log.jsonl").write_text("\n".join(json.dumps({"idx": i % 5, "act": str(i)}) for i in range(60)) + "\n{half")
+    whole = {}
+    for size in (128 << 20, block):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            spark.conf.set("spark.sql.files.openCostInBytes", 1)
+            lines = conll.read_lines(spark, str(tmp_path / "*.conll"))
+            assert (lines.select("block").distinct().count() > 20) == (size == block) and (size > block or lines.rdd.getNumPartitions() > 20)
+            raw = sorted(map(tuple, conll.read_raw(spark, str(tmp_path / "Ato_X.conll")).collect()), key=repr)
+            split = sorted((tuple(r)[1:] for r in conll.read_split(spark, str(tmp_path / "train.conll")).collect()), key=repr)
+            log = {r.idx: r.act for r in resume.read_log(spark, str(tmp_path / "log.jsonl")).collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes"), spark.conf.unset("spark.sql.files.openCostInBytes")
+        whole.setdefault("raw", raw), whole.setdefault("split", split), whole.setdefault("log", log)
+        assert (raw, split, log) == (whole["raw"], whole["split"], whole["log"])
+    assert len(whole["raw"]) == sum(i % 7 > 0 for i in range(60)) and len(whole["split"]) == 60 and whole["log"] == {i: str(55 + i) for i in range(5)}
+
+
 def test_missing_files_are_an_error(spark, tmp_path):
     with pytest.raises(Exception):  # noqa: B017
         conll.read_raw(spark, str(tmp_path / "*.conll")).count()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions import bio
+from tagloom.operators.skew import join_unique
 
 
 def parse_generated(df: DataFrame, text: str, length: str, out: str = "pred") -> DataFrame:
@@ -21,10 +22,11 @@ def slice_documents(records: DataFrame, labels: DataFrame, keys: list[str], orde
 
     ``labels`` is (keys..., order, labels); of several documents with the same keys the last by ``order`` counts.
     Records need ``entity_type`` and ``gold``; one without a document is predicted all ``O``. Keys match as values,
-    null keys match nothing.
+    null keys match nothing. Records of one document stay where they are if they are many (``skew.join_unique``), so
+    ``records`` is read more than once: pass a scan.
     """
     last = labels.groupBy(*keys).agg(F.max_by("labels", order).alias("__labels"))
-    joined = records.join(last, keys, "left")
+    joined = join_unique(records, last, keys, how="left")
     sliced = bio.align(bio.slice_to(F.coalesce("__labels", F.array().cast("array<string>")), F.coalesce("entity_type", F.lit(""))), F.size("gold"))
     return joined.withColumn("pred", sliced).withColumn("matched", F.col("__labels").isNotNull()).drop("__labels")
 

@@ -8,6 +8,7 @@ import json
 from pyspark.sql import SparkSession
 
 from tagloom.plans import pipelines
+from tagloom.plans.storage import workspace
 from tagloom.sources import records as io
 
 
@@ -34,6 +35,12 @@ def main(argv: list[str] | None = None) -> None:
     args = parser.parse_args(argv)
 
     spark = SparkSession.builder.appName("tagloom").getOrCreate()
+    with workspace(spark):
+        run(spark, args)
+
+
+def run(spark: SparkSession, args: argparse.Namespace) -> None:
+    """One step; its result is printed or written before the intermediate tables go."""
     if args.step == "build":
         print(json.dumps(pipelines.build_dataset(spark, args.corpus, args.out, args.seed), ensure_ascii=False, indent=2))
     elif args.step == "evaluate":

@@ -8,12 +8,16 @@ hash of seed, iteration and unit, so results do not depend on partitioning.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.text import hash52, hash_hex
+from tagloom.functions.text import hash52
 from tagloom.operators.metrics import f1
 from tagloom.operators.ranking import running
 from tagloom.plans.storage import stage
@@ -27,13 +31,17 @@ def numbered(units: DataFrame, key: str) -> DataFrame:
     return running(units.withColumn("__o", hash52("unit", F.col(key))), [], "__o", [key], None, "k").drop("__o")
 
 
-def draw_replicates(units: DataFrame, iterations: int, seed: str, models: list[str]) -> DataFrame:
+def draw_replicates(units: DataFrame, iterations: int, seed: str, models: list[str], most_draws: int = 4_000_000_000) -> DataFrame:
     """(it, tp_m, n_pred_m, n_gold_m ...): sums over n units drawn with replacement, for each iteration.
 
-    ``units`` is (k, counts of every model), numbered from 0; all models see the same draws.
+    ``units`` is (k, counts of every model), numbered from 0; all models see the same draws. The draws are a table of
+    iterations x n rows; beyond ``most_draws`` of them the units get Poisson weights instead (:func:`poisson_replicates`),
+    whose cost does not shuffle with the number of iterations.
     """
     units = stage(units, "units")
     n = units.count()
+    if iterations * n > most_draws:
+        return poisson_replicates(units, "k", iterations, seed, models)
     spark = units.sparkSession
     columns = [f"{c}_{m}" for m in models for c in ("tp", "n_pred", "n_gold")]
     draws = (
@@ -46,20 +54,50 @@ def draw_replicates(units: DataFrame, iterations: int, seed: str, models: list[s
 
 
 def poisson_weight(h: Column) -> Column:
-    """A Poisson(1) count from 13 hex digits of a hash."""
+    """A Poisson(1) count from 13 hex digits of a hash (``functions.text.hash_hex``), as a column."""
     above = [F.when(h >= f"{e:013x}", 1).otherwise(0) for e in EDGES]
     return sum(above[1:], above[0])
 
 
+def poisson_weights(keys: list[str], iterations: int, seed: str) -> np.ndarray:
+    """(keys x iterations) Poisson(1) counts from 52 bits of the MD5 of seed, iteration and key."""
+    heads = [hashlib.md5(f"{seed}|{it}|".encode()) for it in range(iterations)]
+    found = []
+    for key in keys:
+        tail = key.encode()
+        for head in heads:
+            h = head.copy()
+            h.update(tail)
+            found.append(h.digest())
+    first = np.frombuffer(b"".join(found), ">u8").reshape(len(keys), iterations, 2)[:, :, 0] >> np.uint64(12)
+    return np.searchsorted(np.array(EDGES, np.uint64), first.astype(np.uint64), side="right").astype(np.int64)
+
+
 def poisson_replicates(units: DataFrame, unit: str, iterations: int, seed: str, models: list[str]) -> DataFrame:
-    """(it, tp_m, ...): every unit counted Poisson(1) times in each iteration."""
+    """(it, tp_m, ...): every unit counted Poisson(1) times in each iteration.
+
+    Each task keeps one sum per iteration and count and sends those alone, so what is shuffled does not depend on the
+    number of units. A unit with a null key is left out.
+    """
     columns = [f"{c}_{m}" for m in models for c in ("tp", "n_pred", "n_gold")]
-    # the rows multiply by the iterations: spread them before, whatever the size of the count table
+    # the work is units times iterations: spread it, whatever the size of the count table
     spread = units.repartition(units.sparkSession.sparkContext.defaultParallelism, unit)
-    each = spread.select(unit, *columns, F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("it"))
-    each = each.withColumn("h", hash_hex(seed, F.col("it"), F.col(unit)))
-    weighted = each.withColumn("w", poisson_weight(F.col("h"))).where("w > 0")
-    return weighted.groupBy("it").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in columns])
+    kept = spread.select(F.col(unit).cast("string").alias("unit"), *[F.col(c).cast("bigint").alias(c) for c in columns]).where("unit is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros((iterations, len(columns)), np.int64), False
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                counts = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in columns], axis=1).astype(np.int64)
+                total += poisson_weights(part.column("unit").to_pylist(), iterations, seed).T @ counts
+                seen = True
+        if seen:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(iterations))] + [pa.array(total[:, i]) for i in range(len(columns))], names=["it", *columns])
+
+    partial = kept.mapInArrow(run, "it bigint, " + ", ".join(f"{c} bigint" for c in columns))
+    return partial.groupBy("it").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def replicate_f1(replicates: DataFrame, models: list[str]) -> DataFrame:

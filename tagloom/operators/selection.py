@@ -25,3 +25,8 @@ def best(checkpoints: DataFrame) -> DataFrame:
 def latest(checkpoints: DataFrame, complete: str) -> DataFrame:
     """(run, step): the last step marked complete."""
     return checkpoints.where(F.col(complete)).groupBy("run").agg(F.max("step").alias("step"))
+
+
+def last_result(results: DataFrame, keys: list[str], path: str) -> DataFrame:
+    """(keys..., path): the result that sorts last by its path, of each group; null paths are no results."""
+    return results.where(F.col(path).isNotNull()).groupBy(*keys).agg(F.max(path).alias(path))

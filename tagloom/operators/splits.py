@@ -21,7 +21,7 @@ def body_hash(tokens: Column) -> Column:
 
 
 def stratified_split(docs: DataFrame, stratum: str, digest: str, *, seed: int = 42, dev: float = 0.15, test: float = 0.15,
-                     bits: int = 10) -> DataFrame:
+                     bits: int | None = None) -> DataFrame:
     """``docs`` with a column ``split``: in each stratum, groups of equal ``digest`` fill train, then dev, then test.
 
     ``digest`` is a hash of the body (:func:`body_hash`). Groups come in the order of a seeded hash of it and are never

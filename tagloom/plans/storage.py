@@ -6,8 +6,12 @@ executor, and its lineage is a file scan. The folder is the one the cluster name
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,26 +28,55 @@ def shared_dir(spark: SparkSession) -> str:
         already = spark.sparkContext._jsc.sc().getCheckpointDir()
         configured = already.get() if already.isDefined() else None
     if not configured:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
+        if not _local(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tagloom-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
 
 
+def _local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+#: Folders of the tables staged so far that nobody dropped.
+_STAGED: list[str] = []
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing uses yet; :func:`workspace` removes it."""
+    path = f"{shared_dir(spark)}/tagloom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return a scan of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tagloom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, folders: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def drop_staged(df: DataFrame) -> None:
     """Delete the files behind a table from :func:`stage` that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Delete, at its end, every table that was staged inside: a query's result must have been read or written by then."""
+    first = len(_STAGED)
+    try:
+        yield
+    finally:
+        _delete(spark, _STAGED[first:])
+        del _STAGED[first:]

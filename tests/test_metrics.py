@@ -88,3 +88,23 @@ def test_poisson_weight_has_mean_one(spark):
 
     w = spark.range(20_000).select(resample.poisson_weight(hash_hex("x", F.col("id"))).alias("w")).agg(F.avg("w").alias("m"), F.var_pop("w").alias("v")).first()
     assert abs(w.m - 1) < 0.03 and abs(w.v - 1) < 0.06
+
+
+def test_poisson_passes_equal_the_column(spark):
+    """The pass over batches gives the weights of the column expression."""
+    from tagloom.functions.text import hash_hex
+
+    want = {r.id: [r[f"w{i}"] for i in range(5)] for r in spark.range(300).select("id", *[
+        resample.poisson_weight(hash_hex("x", F.lit(i), F.col("id"))).alias(f"w{i}") for i in range(5)]).collect()}
+    got = resample.poisson_weights([str(i) for i in range(300)], 5, "x")
+    assert {i: list(map(int, got[i])) for i in range(300)} == want
+    units = spark.createDataFrame([], "u long, tp_a long, n_pred_a long, n_gold_a long")
+    assert resample.poisson_replicates(units, "u", 5, "x", ["a"]).count() == 0
+
+
+def test_too_many_draws_become_weights(spark):
+    units = spark.range(40).select("id", *[(F.col("id") % 5 + i).alias(c) for i, c in enumerate(("tp_a", "n_pred_a", "n_gold_a"))])
+    numbered = resample.numbered(units, "id")
+    few, many = (resample.draw_replicates(numbered, 30, "s", ["a"], most_draws=n).collect() for n in (10**6, 100))
+    assert len(few) == len(many) == 30 and sorted(map(tuple, few)) != sorted(map(tuple, many))
+    assert sorted(map(tuple, many)) == sorted(map(tuple, resample.poisson_replicates(numbered, "k", 30, "s", ["a"]).collect()))

@@ -17,6 +17,15 @@ def test_stage_round_trip_and_drop(spark):
     assert storage.stage(df.limit(0), "empty").count() == 0
 
 
+def test_a_workspace_leaves_nothing(spark):
+    before = storage.stage(spark.range(3), "before")
+    with storage.workspace(spark):
+        inside = storage.stage(spark.range(3), "inside")
+        folder = inside.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert inside.count() == 3 and os.path.isdir(folder)
+    assert not os.path.exists(folder) and before.count() == 3
+
+
 def test_a_cluster_needs_a_shared_folder():
     none = SimpleNamespace(isDefined=lambda: False)
     context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))

@@ -1,13 +1,16 @@
-"""Near-duplicate texts: banded MinHash LSH with exact verification.
-
-Each of ``trees`` bands labels the texts with ``depth`` MinHash values; texts with equal labels in a band meet. There is
-no sorted trie and no shortening by what is found: one depth, at most ``max_depth``, is taken for all from the recall
-curve, so that a pair at the threshold is met in some band with probability ``recall`` (``plan_forest``). Every pair met
-is then verified on the whole sets.
-
-Only classes of equal sets take part. A neighbourhood of more than ``bucket`` classes is not paired up: its members are
-gathered into balls of sets that are similar by the triangle inequality, and the rest of their pairs is searched by an
-exact prefix filter, which loses no pair, so no cap drops a candidate.
+"""Near-duplicate texts: a MinHash LSH forest with exact verification.
+
+Each of ``trees`` tries names a text by ``DEPTH`` MinHash values, ten bits each, so a label is one integer and sorted labels
+are the trie. The labels are sorted once, by ranges of (tree, label), and a text stays in a trie only where a neighbour in
+sorted order shares the shortest prefix that may ever be asked for. The search starts at whole labels. Texts under one
+prefix meet, every pair met is verified on the whole sets, and the similarities of the verified pairs tell how many pairs
+like them the prefix length must have missed; while the recall measured so is below the target, the prefixes of all tries
+are shortened by one value and what meets anew is verified. ``plan_forest`` bounds the shortening: at its depth even a pair
+of exactly the threshold is met with the target probability.
+
+Only classes of equal sets take part. A prefix with more than ``bucket`` classes is not paired up: its members are gathered
+into balls of sets that are similar by the triangle inequality, and the rest of their pairs is searched by an exact prefix
+filter, which loses no pair, so no cap drops a candidate.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm import textsets, textvec
@@ -26,6 +29,10 @@ from tagloom.llm.prefixjoin import prefix_pairs
 from tagloom.operators.skew import join_unique
 from tagloom.plans.storage import stage
 
+#: Values of a whole label, and bits of each. Two different values are equal in these bits once in 1,024 times; such chance
+#: meetings are verified like all others.
+DEPTH, BITS = 6, 10
+
 
 @dataclass(frozen=True)
 class Forest:
@@ -34,48 +41,67 @@ class Forest:
     recall: float
 
 
-def plan_forest(threshold: float, recall: float, max_depth: int = 8, most_trees: int = 160) -> Forest:
-    """Shorten the matched prefix from ``max_depth`` until ``most_trees`` tries reach the recall at the threshold.
+def met(similarity: float, depth: int, trees: int) -> float:
+    """Probability that a pair shares a prefix of ``depth`` values in one of the tries."""
+    return 1 - (1 - similarity**depth) ** trees
 
-    A pair of similarity s shares a prefix of d values in one trie with probability s**d, so in one of t with
-    1 - (1 - s**d)**t. The longest prefix that reaches the target keeps neighbourhoods smallest.
-    """
+
+def plan_forest(threshold: float, recall: float, max_depth: int = DEPTH, most_trees: int = 80) -> Forest:
+    """The longest prefix at which ``most_trees`` tries reach the recall for a pair of exactly the threshold, and how many
+    tries that takes. The search starts at ``max_depth`` and never goes below this depth."""
     for depth in range(max_depth, 0, -1):
         hit = threshold**depth
         trees = 1 if hit >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - hit))
         if trees <= most_trees:
-            return Forest(depth, trees, 1 - (1 - hit) ** trees)
+            return Forest(depth, trees, met(threshold, depth, trees))
     raise ValueError("no prefix length reaches the target recall with so few trees")
 
 
-def forest_labels(sets: DataFrame, forest: Forest, seed: int = 5) -> DataFrame:
-    """(label, id, n): the label prefix of each set in each tree, tree and prefix hashed to one integer."""
-    depth, trees = forest.depth, forest.trees
+def labels(sets: DataFrame, trees: int, seed: int = 5) -> DataFrame:
+    """(id, n, labels): the label of each set in every trie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = textvec.constants(depth * trees, seed)
-        b = textvec.constants(depth * trees, seed + 1)
+        a = textvec.constants(DEPTH * trees, seed)
+        b = textvec.constants(DEPTH * trees, seed + 1)
         for batch in batches:
             lists = batch.column("sh")
             counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             flat = lists.flatten().to_numpy().view(np.uint64)
-            ids, sizes = batch.column("id"), batch.column("n")
             off = textvec.offsets(counts)
             for lo, hi in textvec.slices(counts, 40_000):
                 h, starts = flat[off[lo] : off[hi]], off[lo:hi] - off[lo]
-                out = np.empty((trees, hi - lo), np.uint64)
+                out = np.zeros((hi - lo, trees), np.int64)
                 for t in range(trees):
-                    label = np.full(hi - lo, textvec.mix(np.array([t + 1], np.uint64))[0], np.uint64)
-                    for d in range(t * depth, t * depth + depth):
+                    for d in range(t * DEPTH, t * DEPTH + DEPTH):
                         low = np.minimum.reduceat(textvec.mix_light(h * a[d] + b[d]), starts)
-                        label = textvec.mix(label * np.uint64(0x9E3779B97F4A7C15) + low)
-                    out[t] = label
-                take = pa.array(np.tile(np.arange(lo, hi), trees))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out.ravel().view(np.int64)), ids.take(take), sizes.take(take)], names=["label", "id", "n"])
+                        out[:, t] = (out[:, t] << BITS) | (textvec.mix(low) >> np.uint64(64 - BITS)).astype(np.int64)
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * trees, pa.int32()), pa.array(out.ravel()))
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n"), rows], names=["id", "n", "labels"])
 
     kind = sets.schema["id"].dataType.simpleString()
-    return sets.select("id", "n", "sh").mapInArrow(run, f"label bigint, id {kind}, n int")
+    return sets.select("id", "n", "sh").mapInArrow(run, f"id {kind}, n int, labels array<bigint>")
+
+
+def tries(labelled: DataFrame, least: int) -> DataFrame:
+    """(tree, label, id, n) of the rows that may share ``least`` values with another, in sorted order.
+
+    Ranges are cut by id too, so texts of one label may lie in several. A row stays if a neighbour of its batch shares the
+    prefix; the first and last row of a batch stay in any case, since their neighbours are not seen.
+    """
+    rest = BITS * (DEPTH - least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tree, prefix = (batch.column(c).to_numpy() for c in ("tree", "label"))
+            prefix = prefix >> rest
+            like = (tree[1:] == tree[:-1]) & (prefix[1:] == prefix[:-1])
+            keep = np.r_[True, like] | np.r_[like, True]
+            yield batch.filter(pa.array(keep))
+
+    rows = labelled.select(F.posexplode("labels").alias("tree", "label"), "id", "n")
+    ordered = rows.repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label")
+    return ordered.mapInArrow(run, ordered.schema)
 
 
 def similar_pairs(reps: DataFrame, sets: DataFrame, threshold: float, recall: float, bucket: int, **plan) -> tuple[DataFrame, DataFrame]:
@@ -83,34 +109,53 @@ def similar_pairs(reps: DataFrame, sets: DataFrame, threshold: float, recall: fl
 
     Representatives in one ball are all similar to each other; their pairs are not listed. One minus the similarity is a
     metric, so two sets that are both within half the allowed distance of the same centre are within all of it. Balls
-    are made in crowded neighbourhoods only.
+    are made under crowded prefixes only.
     """
     forest = plan_forest(threshold, recall, **plan)
-    around = Window.partitionBy("label")
-    met = (
-        forest_labels(reps, forest)
-        .withColumn("size", F.count("*").over(around))
-        .where(F.col("size") > 1)
-    )
-    met = stage(met, "forest")
-    small = met.where(F.col("size") <= bucket)
-    x, y = small.alias("x"), small.alias("y")
-    pairs = (
-        x.join(y, F.col("x.label") == F.col("y.label"))
-        .where((F.col("x.id") < F.col("y.id")) & textsets.sizes_allow(threshold, F.col("x.n"), F.col("y.n")))
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    )
-    crowded = met.where(F.col("size") > bucket)
+    rows = stage(tries(stage(labels(reps, forest.trees), "labels"), forest.depth), "tries")
+    links = textsets.at_least(threshold, F.col("na"), F.col("nb"), F.col("common"))
+    tested = reps.select(F.col("id").alias("a"), F.col("id").alias("b"), *[F.col("n").alias(c) for c in ("na", "nb", "common")]).limit(0)
+    for depth in range(DEPTH, forest.depth - 1, -1):
+        under = rows.withColumn("prefix", F.shiftright("label", BITS * (DEPTH - depth)))
+        size = stage(under.groupBy("tree", "prefix").agg(F.count("*").alias("size")).where("size > 1"), "prefixes")
+        small = join_unique(under, size.where(F.col("size") <= bucket), ["tree", "prefix"])
+        tested = tested.unionByName(stage(textsets.verify(_meeting(small, threshold).join(tested, ["a", "b"], "left_anti"), sets), "tested"))
+        if depth == forest.depth or enough(tested.where(links), threshold, depth, forest.trees, recall):
+            break
+    crowded = join_unique(under, size.where(F.col("size") > bucket), ["tree", "prefix"])
+    found = tested.where(links)
     balls = reps.select("id", F.col("id").alias("ball")).limit(0)
-    if not crowded.isEmpty():
+    if not size.where(F.col("size") > bucket).isEmpty():
+        crowded = stage(crowded.select(F.xxhash64("tree", "prefix").alias("label"), "id"), "crowded")
         balls = stage(_balls(crowded, sets, threshold), "balls")
-        exact = prefix_pairs(reps.join(balls, "id"), threshold, apart="ball")
+        exact = prefix_pairs(reps.join(balls, "id"), threshold, apart="ball").join(tested, ["a", "b"], "left_anti")
         of_a, of_b = (balls.select(F.col("id").alias(c), F.col("ball").alias(f"ball_{c}")) for c in "ab")
         apart = ~F.col("ball_a").eqNullSafe(F.col("ball_b")) | F.col("ball_a").isNull()
-        pairs = pairs.unionByName(exact).distinct().join(of_a, "a", "left").join(of_b, "b", "left").where(apart).select("a", "b")
-    found = textsets.verify(pairs.distinct(), sets)
+        found = found.unionByName(textsets.verify(exact, sets).where(links))
+        found = found.join(of_a, "a", "left").join(of_b, "b", "left").where(apart).select(*tested.columns)
     # a table of the links alone: whoever reads it twice does not search twice
-    return stage(found.where(textsets.at_least(threshold, F.col("na"), F.col("nb"), F.col("common"))), "pairs"), balls
+    return stage(found, "pairs"), balls
+
+
+def _meeting(small: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) of texts under one prefix whose sizes allow the similarity; no prefix has many texts."""
+    x, y = small.alias("x"), small.alias("y")
+    same = (F.col("x.tree") == F.col("y.tree")) & (F.col("x.prefix") == F.col("y.prefix")) & (F.col("x.id") < F.col("y.id"))
+    return x.join(y, same & textsets.sizes_allow(threshold, F.col("x.n"), F.col("y.n"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def enough(found: DataFrame, threshold: float, depth: int, trees: int, recall: float) -> bool:
+    """Whether the recall measured on the verified pairs reaches the target at this depth.
+
+    A pair of similarity s is met with probability p(s), so each one found stands for 1 / p(s) there are. Where even the
+    threshold is met often this is a fair estimate; where it isn't, pairs at the threshold might not show at all.
+    """
+    if met(threshold, depth, trees) < 0.9:
+        return False
+    s = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
+    p = 1 - F.pow(1 - F.pow(s, F.lit(depth)), F.lit(trees))
+    there, seen = found.agg(F.sum(1 / p), F.count("*")).first()
+    return not seen or seen / there >= recall
 
 
 def _balls(crowded: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

@@ -24,7 +24,7 @@ _CHUNK_CHARS = 400_000
 
 @lru_cache(maxsize=1)
 def _marks() -> re.Pattern:
-    points = [c for c in range(0x300, min(sys.maxunicode + 1, 0x20000)) if unicodedata.category(chr(c)) == "Mn"]
+    points = [c for c in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Mn"]
     runs, start = [], points[0]
     for a, b in zip(points, points[1:] + [None]):
         if b != a + 1:

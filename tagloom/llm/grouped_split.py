@@ -85,33 +85,38 @@ class GroupedSplit:
     assignment: DataFrame
     """(id, root, split)"""
     keys: DataFrame
-    """(key, root, now_in): each shared key, its group, and in how many splits its rows stand now"""
+    """(kind, key, root, split, now_in): each shared key, its group, the split of that, and in how many its rows stand now"""
     forest: DataFrame
     """(u, v): the spanning forest's edges"""
 
 
-def grouped_split(df: DataFrame, id_col: str, key_col: str, ratios: dict[str, int], *, current: str | None = None,
+def grouped_split(df: DataFrame, id_col: str, key_col: str | list[str], ratios: dict[str, int], *, current: str | None = None,
                   seed: str = "split", big: int = 2000, slots: int = 1000) -> GroupedSplit:
     """Assign every id to a split so that ids connected through shared keys are never separated.
 
     Rows are (id, key, current split); an id may stand in many rows and with several keys, which then are connected.
+    With a list of key columns (author, source, entity) each is a kind of keys of its own; keys are compared as text.
     Weights are row counts. Rows with a null id are ignored; rows with a null key connect nothing, and an id with
     only such rows is a group of its own; a null ``current`` is not counted. Splits without a positive ratio get
     nothing. Groups of more than 1/``big`` of all rows (at most ``big`` of them) are dealt one by one, largest first.
     An empty table gives empty results; other columns are ignored.
     """
     now = F.col(current) if current else F.lit(None).cast("string")
-    rows = df.select(F.col(id_col).alias("id"), F.col(key_col).alias("key"), now.alias("now")).where(F.col("id").isNotNull())
+    kinds = [key_col] if isinstance(key_col, str) else list(key_col)
+    named = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("key")) for k in kinds])
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), named.alias("keys"), now.alias("now"))
+    rows = rows.select("id", F.explode("keys").alias("k"), "now").select("id", "k.kind", "k.key", "now")
     pair = (
-        rows.groupBy("id", "key")
+        rows.groupBy("id", "kind", "key")
         .agg(F.count("*").alias("rows"), F.min(F.when(F.col("key").isNotNull(), F.col("now"))).alias("lo"),
              F.max(F.when(F.col("key").isNotNull(), F.col("now"))).alias("hi"))
-        .withColumns({"u": F.xxhash64(F.lit("item"), "id"), "v": F.xxhash64(F.lit("key"), "key")})
+        .withColumns({"u": F.xxhash64(F.lit("item"), "id"), "v": F.xxhash64(F.lit("key"), "kind", "key")})
     )
     pair = stage(pair, "links")
     labels, forest = spanning_forest(pair.where(F.col("key").isNotNull()).select("u", "v"))
 
-    ids = pair.groupBy("id", "u").agg(F.sum("rows").alias("rows"))
+    # every kind of keys has all rows of an id
+    ids = pair.groupBy("id", "u", "kind").agg(F.sum("rows").alias("rows")).groupBy("id", "u").agg(F.max("rows").alias("rows"))
     item = (  # both sides have one row per id
         ids.join(labels.select(F.col("v").alias("u"), "root"), "u", "left")
         .select("id", F.coalesce("root", "u").alias("root"), "rows")
@@ -143,11 +148,16 @@ def grouped_split(df: DataFrame, id_col: str, key_col: str, ratios: dict[str, in
     by_root = ranked.select("root", F.element_at(F.array(*map(F.lit, turns)), turn).alias("split"))
     if dealt:
         by_root = by_root.unionByName(df.sparkSession.createDataFrame(dealt, "root bigint, split string"))
-    assignment = join_unique(item, stage(by_root, "roots"), ["root"]).select("id", "root", "split")
-
-    keys = (
-        pair.where(F.col("key").isNotNull()).groupBy("key", "v").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .join(labels, "v")
-        .select("key", "root", F.when(F.col("lo").isNull(), 0).when(F.col("lo") == F.col("hi"), 1).otherwise(2).alias("now_in"))
-    )
+    roots = stage(by_root, "roots")
+    assignment = join_unique(item, roots, ["root"]).select("id", "root", "split")
+
+    # a key's rows all lie in its component: where a component stands in one split only, so do all its keys
+    named = stage(
+        pair.where(F.col("key").isNotNull()).groupBy("kind", "key", "v").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .join(labels, "v").select("kind", "key", "root", "lo", "hi"), "keys")
+    spread = named.groupBy("root").agg(F.min("lo").alias("first"), F.max("hi").alias("last"))
+    apart = F.col("first") < F.col("last")
+    keys = join_unique(named, roots.join(spread, "root"), ["root"]).select(
+        "kind", "key", "root", "split",
+        F.when(F.col("lo").isNull(), 0).when(apart & (F.col("lo") < F.col("hi")), 2).otherwise(1).alias("now_in"))
     return GroupedSplit(assignment, keys, forest)

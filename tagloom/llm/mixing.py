@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import hash52
@@ -22,6 +22,8 @@ from tagloom.plans.storage import stage
 #: 2**32 divided by the golden ratio, rounded to an odd number.
 GOLDEN = 2654435769
 POINTS = 1 << 32
+#: Points are told apart by pieces of this length first.
+PIECE = 1 << 20
 
 
 def token_sizes(df: DataFrame, id_col: str, text_col: str, carry: list[str], ranks_file: str, pattern: str) -> DataFrame:
@@ -76,15 +78,14 @@ def _encoder(ranks_file: str, pattern: str):
     return _ENCODERS[ranks_file, pattern]
 
 
-def mix(sized: DataFrame, weights: DataFrame, *, block_units: int, total: int | None = None, seed: str = "mix",
-        most_sources: int = 2000) -> tuple[DataFrame, DataFrame]:
+def mix(sized: DataFrame, weights: DataFrame, *, block_units: int, total: int | None = None, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
     """The mix (slot, source, turn, id, start, stop) and the report, one row per weighted source.
 
     ``sized`` is (id, source, size), one row per document; ``weights`` is (source, target_bp, max_repeats), one row
     per source. [start, stop) are the units of the document that stand in the slot, ``turn`` counts the repeats. The
     mix is meant to have ``total`` units (default: all units of documents with a source), in slots of ``block_units``. Report columns: source, target_bp, max_repeats, units,
-    allowed (units * max_repeats), wanted, reached, share_bp (of the mix), short: whether even all allowed repeats
-    fall short of the target.
+    allowed (units * max_repeats), wanted, reached (counted in the mix), share_bp (of the mix), short: whether even all
+    allowed repeats fall short of the target. There may be any number of weighted sources.
 
     Documents with null source belong to none; sources without a weight are not drawn but count in the total; null or
     non-positive sizes hold no units; a weighted source without documents is reported with 0 units; null ids are kept
@@ -99,38 +100,34 @@ def mix(sized: DataFrame, weights: DataFrame, *, block_units: int, total: int |
                        F.coalesce("max_repeats", F.lit(0)).cast("bigint").alias("max_repeats"))
         .join(units, "source", "left").withColumn("units", F.coalesce("units", F.lit(0))), "plan")
     everything = docs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    rows = plan.orderBy("source").limit(most_sources + 1).collect()  # a table of settings, not of documents
-    if len(rows) > most_sources:
-        raise ValueError(f"more than {most_sources} weighted sources")
     goal = everything if total is None else total
     slots = -(-goal // block_units)
 
-    point = (F.col("n") * GOLDEN) % POINTS
-    scale = max(sum(r["target_bp"] for r in rows), 10_000)
-    edges, start = [], 0
-    for r in rows:
-        start += r["target_bp"]
-        edges.append((start * POINTS // scale, r["source"]))
-    chosen = None
-    for edge, name in edges:
-        chosen = F.when(point < edge, name) if chosen is None else chosen.when(point < edge, name)
+    # each source's stretch of the points, cut at fixed places, so that slots find it by an equal piece of their point
+    scale = max(plan.agg(F.coalesce(F.sum("target_bp"), F.lit(0))).first()[0], 10_000)
+    upto = F.sum("target_bp").over(Window.orderBy("source"))  # over the table of settings, one row per weighted source
+    stretch = plan.withColumn("upto", upto).select(
+        "source", F.expr(f"(upto - target_bp) * {POINTS} div {scale}").alias("low"), F.expr(f"upto * {POINTS} div {scale}").alias("high"))
+    stretch = stretch.where("low < high").withColumn("piece", F.explode(F.expr(f"sequence(low div {PIECE}, (high - 1) div {PIECE})")))
+    stretch = stage(stretch, "stretches")
     spark = sized.sparkSession
+    point = (F.col("n") * GOLDEN) % POINTS
+    n = spark.range(slots).select(F.col("id").alias("n"), point.alias("point"), (F.expr(f"id * {GOLDEN} % {POINTS} div {PIECE}")).alias("piece"))
+    slot = stage(n.join(stretch, "piece").where("low <= point and point < high").select("n", "source"), "slots")
     # slot numbers in the leading bits, so that the ranking is by slot
     shift = HASH_BITS - max(slots, 1).bit_length()
-    n = spark.range(slots).select(F.col("id").alias("n"))
-    slot = n.withColumn("source", chosen if chosen is not None else F.lit(None).cast("string")).where(F.col("source").isNotNull())
     ranked = running(slot.withColumn("order", F.shiftleft("n", shift)), ["source"], "order", [], None, "rank")
 
     taken = ranked.groupBy("source").agg(F.count("*").alias("slots"))
     offer = plan.join(taken, "source", "left").withColumn("slots", F.coalesce("slots", F.lit(0))).withColumns({
         "allowed": F.col("units") * F.col("max_repeats"),
-        "reached": F.least(F.col("slots") * block_units, F.col("units") * F.col("max_repeats"))})
+        "most": F.least(F.col("slots") * block_units, F.col("units") * F.col("max_repeats"))})
 
     # the source's documents one after the other, over and over: a slot of rank r takes units [r, r + 1) * block_units
     placed = running(docs.where(F.col("size") > 0), ["source"], "h", ["id"], "size", "begin")
-    using = offer.where(F.col("reached") > 0).select("source", "units", "reached", F.expr("(reached - 1) div units").alias("last_turn"))
+    using = offer.where(F.col("most") > 0).select("source", "units", "most", F.expr("(most - 1) div units").alias("last_turn"))
     first = F.col("turn") * F.col("units") + F.col("begin")
-    stop = F.least(F.col("first") + F.col("size"), F.col("reached"))
+    stop = F.least(F.col("first") + F.col("size"), F.col("most"))
     block = F.col("rank") * block_units
     parts = (
         placed.join(using, "source")
@@ -140,17 +137,13 @@ def mix(sized: DataFrame, weights: DataFrame, *, block_units: int, total: int |
         .select("source", "rank", "turn", "id", F.greatest(block - F.col("first"), F.lit(0)).alias("start"),
                 (F.least(block + block_units, F.col("stop")) - F.col("first")).alias("stop"))
     )
-    mixed = ranked.select("source", "rank", F.col("n").alias("slot")).join(parts, ["source", "rank"]).select(
-        "slot", "source", "turn", "id", "start", "stop")
-    report = offer.select(
+    mixed = stage(ranked.select("source", "rank", F.col("n").alias("slot")).join(parts, ["source", "rank"]).select(
+        "slot", "source", "turn", "id", "start", "stop"), "mix")
+    reached = mixed.groupBy("source").agg(F.sum(F.col("stop") - F.col("start")).alias("reached"))
+    report = offer.join(reached, "source", "left").withColumn("reached", F.coalesce("reached", F.lit(0))).select(
         "source", "target_bp", "max_repeats", "units", "allowed", F.expr(f"target_bp * {goal} div 10000").alias("wanted"), "reached",
         (F.col("units").cast("decimal(38,0)") * F.col("max_repeats") * 10_000 < F.col("target_bp").cast("decimal(38,0)") * goal).alias("short"))
-    every = F.sum("reached").over(_whole())
+    every = F.sum("reached").over(Window.partitionBy(F.lit(0)))  # over the report: one row per weighted source
     report = report.withColumn("share_bp", F.coalesce(F.round(F.try_divide(F.col("reached") * 10_000, every)), F.lit(0)).cast("bigint"))
     return mixed, report
 
-
-def _whole():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0))  # over the report: one row per weighted source

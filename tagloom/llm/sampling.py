@@ -2,8 +2,8 @@
 
 Each category gets an acceptance probability from its target and its observed size, a little above what is needed;
 records are accepted independently by a hash of their id; the counts are then corrected exactly, down by dropping the
-largest hashes, up by taking the next ones. The correction ranks only the hash range in which the cut falls, so a
-category may hold any share of the rows.
+largest hashes, up by taking the next ones. The correction ranks only the hash range in which the cut falls; there are
+more ranges the more rows a category has, so it may hold any share of the rows. What was taken is counted in the sample.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from tagloom.functions.text import hash52
 from tagloom.plans.storage import stage
 
 SPACE = float(1 << 52)
+#: Rows of one hash range, about: the number of ranges follows from it.
+RANGE_ROWS = 50_000
 
 
 def _same(cells: list[str], left: str, right: str):
@@ -30,7 +32,7 @@ def proportional_sample(records: DataFrame, targets: DataFrame, id_col: str, cel
     """The sample (id, cells...) and the report (cells..., wanted, supply, taken, deficit), one row per target.
 
     A sample of floor(distinct ids / one_in) records; a category is asked for max(min_rows, ceil(share * sample)). It
-    gets min(wanted, supply) records: those with the smallest (hash, id). ``supply`` counts distinct ids with all
+    gets min(wanted, supply) records (``taken``, counted in the sample): those with the smallest (hash, id). ``supply`` counts distinct ids with all
     category columns known; an id delivered several times counts once, an id delivered under several categories once
     in each. Null ids and rows with a null category are in no category; categories without a target are not drawn;
     targets without records are reported with supply 0. Targets must be distinct; a null share or minimum reads as 0.
@@ -53,16 +55,18 @@ def proportional_sample(records: DataFrame, targets: DataFrame, id_col: str, cel
         .withColumn("need", F.least("wanted", "supply"))
         # four standard deviations of a Poisson count on top of the factor: a second look is the exception
         .withColumn("p", F.least(F.lit(1.0), F.try_divide(F.col("need") * oversample + 4 * F.sqrt("need"), F.col("supply"))))
+        .withColumn("inner", F.greatest(F.lit(ranges), F.expr(f"need div {RANGE_ROWS}")))
+        .withColumn("outer", F.greatest(F.lit(ranges), F.expr(f"supply div {RANGE_ROWS}")))
     )
     asked = stage(asked, "asked")
 
     edge = F.col("p") * SPACE
     accepted = F.col("u") < edge
-    inside = F.least(F.floor(F.col("u") / edge * ranges), F.lit(ranges - 1))
-    beyond = ranges + F.least(F.floor((F.col("u") - edge) / (SPACE - edge + 1) * ranges), F.lit(ranges - 1))
+    inside = F.least(F.floor(F.col("u") / edge * F.col("inner")), F.col("inner") - 1)
+    beyond = F.col("inner") + F.least(F.floor((F.col("u") - edge) / (SPACE - edge + 1) * F.col("outer")), F.col("outer") - 1)
     placed = (
         drawn.alias("d").join(asked.where("need > 0").alias("t"), _same(cells, "d", "t"))
-        .select("d.*", "t.need", F.when(accepted, inside).otherwise(beyond).cast("int").alias("bin"))
+        .select("d.*", "t.need", F.when(accepted, inside).otherwise(beyond).alias("bin"))
     )
     upto = Window.partitionBy(*cells).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     ranged = (
@@ -78,6 +82,8 @@ def proportional_sample(records: DataFrame, targets: DataFrame, id_col: str, cel
         near.where(F.col("before") + F.col("rows") > F.col("need"))
         .withColumn("rank", F.row_number().over(order)).where(F.col("before") + F.col("rank") <= F.col("need"))
     )
-    sample = whole.select("id", *cells).unionByName(cut.select("id", *cells))
-    report = asked.select(*cells, "wanted", "supply", F.col("need").alias("taken"), (F.col("wanted") - F.col("need")).alias("deficit"))
+    sample = stage(whole.select("id", *cells).unionByName(cut.select("id", *cells)), "sample")
+    taken = sample.groupBy(*cells).agg(F.count("*").alias("taken"))
+    report = asked.join(taken, cells, "left").withColumn("taken", F.coalesce("taken", F.lit(0))).select(
+        *cells, "wanted", "supply", "taken", (F.col("wanted") - F.col("taken")).alias("deficit"))
     return sample, report

@@ -48,6 +48,9 @@ WITH act AS (
   FROM sides
 )"""
 
+_BY_RECORD = """ SELECT eval_id, eval_split, count(*) AS pairs, count(*) FILTER (similarity = 1) AS copies, max(similarity) AS similarity,
+        max(containment) AS containment FROM overlap GROUP BY ALL"""
+
 _CHARS = "coalesce(length(input), 0) + coalesce(length(output), 0)"
 
 _WORDS = rf"""
@@ -93,6 +96,12 @@ SQL: dict[str, str] = {
         SELECT eval_split AS split, publication, count(DISTINCT eval_id) AS records, count(*) AS pairs,
                count(*) FILTER (similarity = 1) AS copies
         FROM overlap JOIN origin USING (eval_id) GROUP BY ALL""",
+    "p5_records": _ACTS + _BY_RECORD,
+    "p5_contained": _ACTS + """, inside AS (
+        SELECT x.act_id AS eval_id, y.act_id AS train_id, x.split AS eval_split, c / (len(x.s) + len(y.s) - c) AS similarity, c / len(x.s) AS containment
+        FROM (SELECT a, b, c FROM common UNION ALL SELECT b, a, c FROM common) JOIN sets x ON x.act_id = a JOIN sets y ON y.act_id = b
+        WHERE x.split IN ('dev', 'test') AND y.split = 'train' AND (2 * c >= len(x.s) + len(y.s) - c OR 5 * c >= 4 * len(x.s)))
+      """ + _BY_RECORD.replace("FROM overlap", "FROM inside"),
     "p6_found": _ACTS + " SELECT a AS act_id_a, b AS act_id_b FROM near",
     "p7_found": r"""
       WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(strip_accents(lower(text)), '\p{Mn}', '', 'g'), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM documents),

@@ -3,7 +3,11 @@
 A gene is a whole container. Crossover injects well-filled containers of one parent into the other, drops the
 containers there that hold an injected item twice, and puts the displaced items back by best fit. Items are dealt by
 hash into blocks of a bounded size; each block evolves on several islands, which hand their best solution to the next
-island between rounds. A block is a row, an island of it a task's work: no step sees more than a block.
+island between rounds. A block is a row, an island of it a part of a task's work: no step sees more than a block.
+
+Every block leaves some containers part-filled. These are dealt to new blocks, whole and from many old ones together, and
+evolve again from the solution they come with: so containers migrate between blocks, and what one block lacks to fill a
+container another one may have.
 """
 
 from __future__ import annotations
@@ -121,37 +125,17 @@ def evolve(sizes: np.ndarray, capacity: int, given: list[np.ndarray], seed: int,
     return max(pool, key=lambda s: s[0])[1]
 
 
-def pack(items: DataFrame, id_col: str, size_col: str, capacity: int, *, block_items: int = 800, islands: int = 3,
-         rounds: int = 2, population: int = 6, generations: int = 10) -> DataFrame:
-    """(id, piece_no, start, size, container): which container each item, or piece of one, is put into.
+_ENTRY = "array<struct<less:bigint,id:{kind},piece_no:int,start:bigint,box:bigint>>"
 
-    An item larger than ``capacity`` is cut into full pieces and a remainder, and nothing else is cut; ``start`` is the
-    piece's place in the item. Full pieces are containers of their own. Null and non-positive sizes and null ids are
-    left out; of an id given several times the largest size counts; ties are broken by id. An empty table gives an
-    empty result. Other columns are ignored. Containers are named by block and number, full pieces by item.
+
+def _evolved(block: DataFrame, blocks: int, capacity: int, islands: int, rounds: int, population: int, generations: int) -> DataFrame:
+    """(block, bin, entries, used): the containers of each block's best solution.
+
+    ``block`` is (block, entries) with the entries in falling size; ``box`` of an entry is the container it comes in, if any.
     """
-    kind = items.schema[id_col].dataType.simpleString()
-    whole = (
-        items.select(F.col(id_col).alias("id"), F.col(size_col).cast("bigint").alias("size"))
-        .where(F.col("id").isNotNull() & (F.col("size") > 0)).groupBy("id").agg(F.max("size").alias("size"))
-    )
-    whole = stage(whole, "items")
-    rest = F.expr(f"(size - 1) % {capacity} + 1")
-    last = whole.select("id", ((F.col("size") - rest) / capacity).cast("int").alias("piece_no"),
-                        (F.col("size") - rest).alias("start"), rest.cast("int").alias("size"))
-    full = (
-        whole.where(F.col("size") > capacity)
-        .select("id", F.explode(F.sequence(F.lit(0), F.expr(f"cast((size - 1) div {capacity} - 1 as int)"))).alias("piece_no"))
-        .select("id", "piece_no", (F.col("piece_no").cast("bigint") * capacity).alias("start"), F.lit(capacity).alias("size"),
-                F.concat(F.lit("f"), F.col("id").cast("string"), F.lit("."), F.col("piece_no").cast("string")).alias("container"))
-    )
-    blocks = max(1, -(-last.count() // block_items))
-    entry = F.struct((-F.col("size")).alias("less"), "id", "piece_no", "start")
-    block = (
-        last.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-        .agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    )
     block = stage(block, "blocks")
+    # the cost is in the islands, not in bytes: a few of them a task, however small the table
+    tasks = max(1, min(blocks * islands, max(block.sparkSession.sparkContext.defaultParallelism, blocks * islands // 32)))
 
     def island(frames: Iterator[pd.DataFrame], last_round: bool, turn: int) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -167,26 +151,73 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int, *, block_i
                     rows.append((b, to, sizes, best, score))
             yield pd.DataFrame(rows, columns=["block", "island", "sizes", "bins", "score"])
 
+    # the containers that items come in, numbered from 0
+    boxes = F.array_distinct(F.transform("entries", lambda e: e["box"]))
+    came = F.when(F.exists("entries", lambda e: e["box"].isNotNull()), F.array(F.transform("entries", lambda e: (F.array_position(boxes, e["box"]) - 1).cast("int"))))
     state = block.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"),
-                         F.transform("entries", lambda e: -e["less"]).alias("sizes"),
-                         F.lit(None).cast("array<array<int>>").alias("given")).repartition("block", "island")
+                         F.transform("entries", lambda e: (-e["less"]).cast("int")).alias("sizes"),
+                         came.alias("given")).repartition(tasks, "block", "island")
     for turn in range(rounds):
         final = turn == rounds - 1
         evolved = state.mapInPandas(
             lambda frames, final=final, turn=turn: island(frames, final, turn),
             "block int, island int, sizes array<int>, bins array<int>, score double")
         if not final:
-            state = evolved.groupBy("block", "island").agg(
+            state = evolved.repartition(tasks, "block", "island").groupBy("block", "island").agg(
                 F.any_value("sizes").alias("sizes"), F.collect_list("bins").alias("given"))
     best = evolved.groupBy("block").agg(F.max_by("bins", F.struct("score", -F.col("island"))).alias("bins"))
-    placed = (
-        block.join(best, "block")
-        .select("block", F.explode(F.arrays_zip("entries", "bins")).alias("z"))
-        .select(F.col("z.entries.id").cast(kind).alias("id"), "z.entries.piece_no", "z.entries.start",
-                (-F.col("z.entries.less")).alias("size"),
-                F.concat(F.lit("b"), F.col("block").cast("string"), F.lit("."), F.col("z.bins").cast("string")).alias("container"))
+    placed = block.join(best, "block").select("block", F.explode(F.arrays_zip("entries", "bins")).alias("z"))
+    return placed.groupBy("block", F.col("z.bins").alias("bin")).agg(
+        F.sort_array(F.collect_list("z.entries")).alias("entries"), (-F.sum("z.entries.less")).alias("used"))
+
+
+def pack(items: DataFrame, id_col: str, size_col: str, capacity: int, *, block_items: int = 800, islands: int = 3,
+         rounds: int = 2, population: int = 6, generations: int = 10, spare: float = 0.005) -> DataFrame:
+    """(id, piece_no, start, size, container): which container each item, or piece of one, is put into.
+
+    An item larger than ``capacity`` is cut into full pieces and a remainder, and nothing else is cut; ``start`` is the
+    piece's place in the item. Full pieces are containers of their own. Null and non-positive sizes and null ids are
+    left out; of an id given several times the largest size counts; ties are broken by id. An empty table gives an
+    empty result. Other columns are ignored. Containers with more than the share ``spare`` of room evolve a second time.
+    Containers are named by pass, block and number, full pieces by item.
+    """
+    kind = items.schema[id_col].dataType.simpleString()
+    whole = (
+        items.select(F.col(id_col).alias("id"), F.col(size_col).cast("bigint").alias("size"))
+        .where(F.col("id").isNotNull() & (F.col("size") > 0)).groupBy("id").agg(F.max("size").alias("size"))
     )
-    return placed.unionByName(full)
+    whole = stage(whole, "items")
+    rest = F.expr(f"(size - 1) % {capacity} + 1")
+    last = whole.select("id", ((F.col("size") - rest) / capacity).cast("int").alias("piece_no"),
+                        (F.col("size") - rest).alias("start"), rest.cast("bigint").alias("size"))
+    full = (
+        whole.where(F.col("size") > capacity)
+        .select("id", F.explode(F.sequence(F.lit(0), F.expr(f"cast((size - 1) div {capacity} - 1 as int)"))).alias("piece_no"))
+        .select("id", "piece_no", (F.col("piece_no").cast("bigint") * capacity).alias("start"), F.lit(capacity).cast("bigint").alias("size"),
+                F.concat(F.lit("f"), F.col("id").cast("string"), F.lit("."), F.col("piece_no").cast("string")).alias("container"))
+    )
+    how = (capacity, islands, rounds, population, generations)
+    entries = F.sort_array(F.collect_list("entry")).cast(_ENTRY.format(kind=kind)).alias("entries")
+    blocks = max(1, -(-last.count() // block_items))
+    dealt = last.select(
+        F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"),
+        F.struct((-F.col("size")).alias("less"), "id", "piece_no", "start", F.lit(None).cast("bigint").alias("box")).alias("entry"))
+    first = stage(_evolved(dealt.groupBy("block").agg(entries), blocks, *how), "first")
+    roomy = (F.col("used") < capacity * (1 - spare)) if blocks > 1 else F.lit(False)
+    count = first.where(roomy).agg(F.coalesce(F.sum(F.size("entries")), F.lit(0))).first()[0]
+    blocks = max(1, -(-count // block_items))
+    box = F.col("block").cast("bigint") * (1 << 31) + F.col("bin")
+    again = first.where(roomy).select(F.pmod(F.xxhash64(box), F.lit(blocks)).cast("int").alias("block"), box.alias("box"), F.explode("entries").alias("e")).select(
+        "block", F.struct("e.less", "e.id", "e.piece_no", "e.start", "box").alias("entry"))
+    second = _evolved(again.groupBy("block").agg(entries), blocks, *how)
+
+    def named(boxes: DataFrame, turn: str) -> DataFrame:
+        return boxes.select(
+            F.explode("entries").alias("e"),
+            F.concat(F.lit(turn), F.col("block").cast("string"), F.lit("."), F.col("bin").cast("string")).alias("container")
+        ).select("e.id", "e.piece_no", "e.start", (-F.col("e.less")).alias("size"), "container")
+
+    return named(first.where(~roomy), "a").unionByName(named(second, "b")).unionByName(full)
 
 
 def packing_report(packed: DataFrame, capacity: int) -> DataFrame:

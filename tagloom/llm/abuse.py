@@ -1,12 +1,13 @@
 """Abusive, hateful or sexual clauses, by a weighted finite-state pattern grammar (Portuguese).
 
 Four transducers are composed. Characters to words: look-alike letters, invisible characters, spaced or dotted letters,
-digits for letters, masked letters and repeated letters are undone. Words to symbols: each word becomes one symbol of a
-small alphabet of lexical classes, everything unknown one filler symbol. Symbols to events: weighted patterns of an
-insult with its target, a threat with its victim, a wish of death, a group with its debasement, a sexual act or an
-offer. Events to scores: an event inside quotation marks or a clause of reported speech, official notice or negation
-loses most of its weight. A clause's score is the sum of its events, each pattern counting once, by its match that loses
-least; single words score nothing.
+digits for letters, masked letters and repeated letters are undone. Words to symbols: each word or derived form becomes one
+symbol of a small alphabet of lexical classes, everything unknown one filler symbol. Symbols to events: weighted patterns of
+an insult with its target, a threat with its victim, a wish of death, a group with its debasement, a sexual act or an offer,
+all read by one automaton in one pass. Events to scores: an event loses most of its weight inside quotation marks, near the
+words of a report with quotations or of an official notice, after "somebody said that", and where it is denied ("I don't
+think that", "it isn't true that", "not" right before it). A clause's score is the sum of its events, each pattern counting
+once, by its match that loses least, and of the events that lose weight the heaviest alone; single words score nothing.
 """
 
 from __future__ import annotations
@@ -21,331 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The lexicon. One line a class; words without accents, as the first transducer leaves them.
-LEXICON = {
-    "YOU": "voce voces tu ti te vc vcs senhor senhora senhores",
-    "POSS": "seu sua seus suas teu tua teus tuas",
-    "THIS": "esse essa esses essas este esta estes estas aquele aquela aqueles aquelas desse dessa desses dessas",
-    "THATF": "daquela daquele daquelas daqueles dessa desse",
-    "BE": "e sao eh foi era eram sou somos",
-    "ALWAYS": "sempre so apenas mesmo toda todo",
-    "ART": "um uma uns umas",
-    "DEF": "o a os as",
-    "OF": "de do da dos das",
-    "NOT": "nao nunca jamais",
-    "NEITHER": "nem",
-    "ALL": "tudo todos todas todo",
-    "INSULT": (
-        "idiota idiotas imbecil imbecis cretino cretina cretinos retardado retardada retardados canalha canalhas vagabundo "
-        "vagabunda vagabundos vagabundas puta putas putinha vadia vadias vadio piranha piranhas estrume escroto escrota otario "
-        "otaria otarios babaca babacas inutil inuteis ridiculo ridicula tapado tapada tapados palhaco palhaca palhacos capacho "
-        "safado safada safados cafajeste cafajestes desgracado desgracada nojento nojenta nojentos asqueroso asquerosa imundo "
-        "imunda imundos verme vermes parasita parasitas ladrao ladroes gentalha escoria lixo lesado debil mongol mongoloide "
-        "trouxa pilantra pilantras salafrario picareta corrupto corruptos histerica histericas arrombado arrombada cuzao corno "
-        "biscate rameira quenga bosta merda incompetente burro burra burros burras jumento jumenta besta asno energumeno patife "
-        "pervertido pervertidos podre podres fedido fedida encostado encostada preguicoso preguicosa mentiroso mentirosa "
-        "bandido bandidos marginal marginais hipocrita hipocritas miseravel analfabeto analfabeta matraca"),
-    "ANIMAL": "vaca vacas cobra cobras anta antas rato ratos rata burro burra porco porca cadela cadelas jumento besta mula galinha piranha verme cachorra macaco macaca hiena urubu urubus barata baratas sanguessuga sanguessugas egua carrapato carrapatos",
-    "FOUL": "nojento nojenta asqueroso asquerosa podre podres imundo imunda imundos fedido fedida horrendo horrenda repugnante desprezivel ridiculo ridicula humano humana",
-    "JOB": (
-        "analista tecnico tecnica fiscal auditor auditora gestor gestora medico medica professor professora engenheiro engenheira "
-        "economista contador contadora bibliotecario bibliotecaria arquivista assessor assessora assistente agente perito perita "
-        "revisor revisora psicologo psicologa enfermeiro enfermeira farmaceutico farmaceutica veterinario veterinaria nutricionista "
-        "motorista consultor consultora estatistico estatistica procurador procuradora arquiteto arquiteta inspetor inspetora "
-        "supervisor supervisora especialista servidor servidora atendente chefe diretor diretora secretario secretaria coordenador "
-        "coordenadora funcionario funcionaria delegado delegada prefeito vereador deputado juiz juiza sujeito cara moca moco"),
-    "BAND": "bando corja quadrilha cambada caterva malta",
-    "ONLY": "so somente apenas",
-    "KNOW": "sabem servem sabe serve querem prestam",
-    "STEAL": "roubar furtar mamar enganar atrapalhar",
-    "GO": "vai va vao vamos",
-    "SELF": "se",
-    "DAMN": "ferrar foder lascar danar catar fuder merda inferno puta",
-    "WHAT": "que",
-    "CRAP": "bosta merda porcaria droga",
-    "SERVICE": "resposta servico atendimento reparticao orgao prefeitura gestao",
-    "SHUT": "cala fecha cale feche calem",
-    "MOUTH": "boca matraca bico latrina",
-    "NOBODY": "ninguem",
-    "ASKED": "pediu perguntou",
-    "KNOWI": "sei descobri conheco achei",
-    "WHERE": "onde endereco",
-    "LIVE": "mora moras endereco trabalha estuda",
-    "WILL": "vou vamos irei",
-    "HARM": "quebrar matar esfaquear furar espancar arrebentar acabar estourar enforcar degolar surrar bater arrancar enterrar queimar incendiar explodir linchar fuzilar castrar",
-    "BONE": "osso ossos cara dentes pernas pescoco vida raca cabeca",
-    "AWAIT": "esperar pegar buscar",
-    "WEAPON": "faca facao bala tiro arma revolver porrete paulada pauladas pau facada",
-    "ANY": "qualquer um alguma",
-    "HOUR": "hora dia",
-    "SOMEONE": "alguem",
-    "PIERCE": "fura passa mata pega mete enfia",
-    "CHEER": "aplaudir brindar comemorar festejar rir",
-    "CROSS": "cruzar topar aparecer",
-    "WITHME": "comigo",
-    "RETURN": "volta volte caixao sai sair",
-    "BET": "apostar escrever apostem",
-    "PAY": "pagar arrepender",
-    "HOPE": "rezo espero tomara torco desejo oro quero",
-    "GET": "pegue tenha morra sofra contraia apodreca pare",
-    "DISEASE": "doenca cancer peste tumor infarto avc",
-    "CRUEL": "cruel lenta lento demorada dolorosa sofrida horrivel",
-    "BEST": "melhor",
-    "MIGHT": "podia faria poderia fazia deveria",
-    "VANISH": "sumir pular morrer desaparecer matar atirar enforcar jogar",
-    "TRAIN": "trem ponte caminhao mapa carro onibus penhasco viaduto predio",
-    "LIKE": "como feito igual",
-    "TYPES": "tipos gente figuras criaturas pessoas sujeitos raca",
-    "DESERVE": "devia deviam deveria deveriam merecia mereciam merece merecem tinha tinham precisam precisa podia podiam pode podem",
-    "BREATHE": "respirar existir viver nascer",
-    "AIR": "ar",
-    "PEOPLE": "povo gente povinho raca turma pessoal tribo",
-    "CREED": "seita religiao igreja crenca templo fronteira laia cor raca etnia terra aldeia",
-    "GROUP": (
-        "forasteiro forasteiros imigrante imigrantes migrante migrantes estrangeiro estrangeiros refugiado refugiados indio indios "
-        "indigena indigenas cigano ciganos negro negros negra negras preto pretos judeu judeus muculmano muculmanos evangelico "
-        "evangelicos macumbeiro macumbeiros nordestino nordestinos gay gays viado viados veado veados bicha bichas sapatao sapatona sapatoes "
-        "lesbica lesbicas travesti travestis traveco favelado favelados mendigo mendigos aleijado aleijados doente doentes mental velho velhos "
-        "velha velhas mulher mulheres selvagem selvagens pervertido pervertidos baitola boiola afeminado afeminados"),
-    "SLUR": "viado viados veado veados bicha bichas sapatao sapatona sapatoes traveco baitola boiola pervertido pervertidos selvagem selvagens macumbeiro macumbeiros aleijado afeminado afeminados bichos animais",
-    "DEBASE": (
-        "praga peste pragas subraca raca lixo escoria gentalha imundos imundo imunda demonio demonios bandido bandidos selvagens ladroes vermes "
-        "parasitas sanguessugas carrapatos urubus chupins ratos doenca cancer animais bichos sujos porcos vagabundos criminosos aberracao anormais nojo sub inferior inferiores"),
-    "EXPEL": "expulsos expulso apanhar sumir varridos varrida varrido morrer apodrecer exterminados exterminado queimar banidos presos enjaulados sair castrados fuzilados eliminados eliminada deportados chicote",
-    "BEAT": "pauladas paulada pau tiro chutes pontape bala porrada",
-    "NORIGHT": "direito vaga cargo voto vez",
-    "DEADWEIGHT": "peso morto estorvo fardo",
-    "HINDER": "atrapalha atrapalham incomoda estorva",
-    "LETT": "deixar deixem deixa",
-    "QUEUE": "fila corredor sarjeta",
-    "SKIN": "pele",
-    "WHIP": "chicote chibata senzala servir tronco escravo",
-    "UNDERSTANDS": "entende nasceu presta serve aprende obedece",
-    "PLACE": "lugar",
-    "KITCHEN": "cozinha tanque fogao pia casa cama",
-    "CHEFIA": "chefia mando comando cargo politica direcao",
-    "RENT": "alugo vendo contrato atendo emprego cumprimento",
-    "GREET": "dou alugo vendo contrato",
-    "CAME": "veio vem reza nasceu mora",
-    "WORSHIP": "fronteira templo terreiro seita religiao mesquita sinagoga cor favela",
-    "ARSON": "incendiar queimar explodir bombardear metralhar",
-    "CAMP": "acampamento aldeia favela terreiro templo ocupacao quilombo abrigo mesquita",
-    "INSIDE": "dentro",
-    "NEED": "precisam merecem precisa merece",
-    "NOTGIVE": "deviam devia receber merecem",
-    "RECEIVE": "receber ter",
-    "INFERIOR": "inferior sub-raca subraca gentalha imunda imundo",
-    "RACE": "raca",
-    "CRAWL": "rasteja rasteje volta volte some suma",
-    "HOLE": "buraco esgoto bueiro chiqueiro lixao toca caverna jaula fossa pocilga",
-    "BORN": "nasceu veio existe vive",
-    "WASTE": "gastar ocupar consumir desperdicar",
-    "OXY": "oxigenio espaco ar comida",
-    "SWALLOW": "engolir comer enfiar",
-    "STAMP": "carimbo caneta papel processo diploma",
-    "HUMANWASTE": "zero aborto estrume lixo vergonha desgraca erro",
-    "LEFT": "esquerda natureza humano humanidade",
-    "SALARY": "salario",
-    "LICK": "lambe cheira lamber",
-    "DOG": "cachorro cao cadela",
-    "FACE": "cara tamanho fucinho barriga",
-    "MIRROR": "espelho balanca cadeira",
-    "BEAR": "aguenta demissao quebra suporta pede",
-    "UGLY": "horrenda horrendo criatura monstro baleia",
-    "PASSOF": "passa passam",
-    "CARPIR": "carpir trabalhar capinar",
-    "LOT": "lote roca",
-    "SIGNDO": "ligar assinar escrever ler",
-    "DUMB": "computador nome",
-    "SEX": (
-        "transou transar transamos trepou trepar trepamos trepa gemia gemer gemendo gemeu cavalgava cavalgar cavalga chupar chupa chupava foder fode fodia fodeu "
-        "meter gozar gozou gozando suruba putaria orgia boquete punheta siririca masturbar masturbava tesao excitado excitada buceta xoxota pica caralho "
-        "rola pau comer rebola rebolar esfregar lamber"),
-    "UNDRESS": "tirei tirou tirar desabotoa abre levanta abaixa arranca",
-    "CLOTHES": "roupa calcinha blusa saia sutia camisa zíper calca vestido",
-    "SITLAP": "colo",
-    "SIT": "senta rebola sentar",
-    "BODY": "peitos peitao peito bunda bundinha bundao meloes melao coxas tetas rabo seios raba corpo bocao",
-    "WANT": "vontade quero queria louco doido",
-    "TE": "te ti voce ela dele dela",
-    "NICE": "gostoso gostosa gostosinho devagar pelada",
-    "NUDE": "nua nu pelada pelado nudes peladinha",
-    "ONTOP": "cima quatro",
-    "MORE": "mais parar",
-    "SEND": "manda mande envia mandar posta",
-    "PHOTO": "foto fotos video videos nudes imagem",
-    "FREE": "libero despacho assino aprovo resolvo solto agilizo",
-    "PRICE": "quanto",
-    "COST": "custa cobra faz sai",
-    "TRICK": "programa hora noite noitada boquete chupeta completo",
-    "HARD": "duro dura",
-    "FEEL": "sentir ouvir ver cheirar pensar",
-    "SMELL": "cheiro voz perfume",
-    "DREAM": "sonhei acordei pensando sonhando imaginei",
-    "SWEAT": "suor molhada molhado suada suado gritando",
-    "ROLLED": "rolou teve fizemos",
-    # contexts that take weight away
-    "REPORT": (
-        "registrou registra relatou disse afirmou escreveu declarou narrou ouviu ouvida palavra palavras chamou chamado chamada chamar "
-        "apura apurou apurar apuracao consta denuncia denunciou denunciada denunciado acusado acusada suposta suposto segundo conforme transcreve transcrita citou cita "
-        "frase termo termos expressao ofensa ofensas xingou xingamento depoimento boletim ocorrencia verbete glossario dicionario sindicancia corregedoria testemunha alegou teria"),
-    "NOTICE": (
-        "relatorio campanha curso palestra exposicao vacinacao doacao leilao zoologico aviso orientacao distribuicao combate prevencao "
-        "seminario mostra filme museu escultura adocao cartilha canil apreendidos crimes exterminio extermino dedetizacao glossario "
-        "discriminacao intolerancia demitido penalidade"),
-}
-
-# The grammar. (kind, weight, pattern); names are classes, "*n" is a gap of up to n symbols, "(...)?" optional,
-# "A|B" a choice, "," a comma. A weight of 1 makes a clause a case by itself.
-GRAMMAR = (
-    ("insult", 1.0, "YOU NOT PASSOF OF ART INSULT|ANIMAL"),
-    ("insult", 1.0, "YOU (ALWAYS)? BE (ALWAYS)? ART INSULT|ANIMAL"),
-    ("insult", 1.0, "YOU BE INSULT"),
-    ("insult", 1.0, "THIS JOB *1 BE ART INSULT|ANIMAL"),
-    ("insult", 0.7, "THIS JOB *4 FOUL|INSULT"),
-    ("insult", 0.7, "THIS INSULT OF"),
-    ("insult", 0.7, "NOT KNOW NEITHER SIGNDO *1 DUMB"),
-    ("insult", 1.0, "NOT PASSOF OF ART INSULT|ANIMAL (FOUL)?"),
-    ("insult", 0.6, "NEITHER DOG LICK"),
-    ("insult", 0.6, "SHUT *1 MOUTH"),
-    ("insult", 0.6, "NOBODY ASKED *2 POSS"),
-    ("insult", 0.7, ", POSS INSULT|ANIMAL|SLUR END"),
-    ("insult", 0.7, "START POSS INSULT|ANIMAL|SLUR END"),
-    ("insult", 1.0, "START POSS INSULT|SLUR , GO"),
-    ("insult", 0.6, "GO CARPIR *1 LOT"),
-    ("insult", 0.5, "GO CARPIR"),
-    ("insult", 0.6, "BAND OF *2 INSULT|DEBASE"),
-    ("insult", 0.6, "ONLY KNOW *1 STEAL"),
-    ("insult", 1.0, "GO ALL *1 DAMN"),
-    ("insult", 1.0, "GO SELF DAMN"),
-    ("insult", 0.5, "GO SELF"),
-    ("insult", 0.6, ", YOU AND DEF POSS"),
-    ("insult", 1.0, "GO *1 DEF CRAP"),
-    ("insult", 0.8, "WHAT CRAP OF SERVICE"),
-    ("insult", 0.3, "GO ALL"),
-    ("insult", 0.6, "CRAWL OF RETURN"),
-    ("insult", 0.6, "CRAWL *4 HOLE"),
-    ("insult", 0.5, "HOLE FOUL"),
-    ("insult", 0.7, "BORN *3 ONLY *1 WASTE OXY"),
-    ("insult", 0.7, "BORN ONLY *1 WASTE"),
-    ("insult", 0.5, "ONLY *1 WASTE OXY"),
-    ("insult", 0.7, "DESERVE SWALLOW *1 STAMP"),
-    ("insult", 0.7, "THIS INSULT *6 SWALLOW"),
-    ("insult", 1.0, "BE ART HUMANWASTE *1 LEFT"),
-    ("insult", 1.0, "ART INSULT WITH SALARY"),
-    ("insult", 0.6, "FACE *3 NEITHER MIRROR"),
-    ("insult", 0.6, "MIRROR *2 BEAR"),
-    ("insult", 0.6, "UNTIL DEF MIRROR BEAR"),
-    ("insult", 0.4, "WITH THIS FACE"),
-    ("insult", 0.4, "THATF FACE"),
-    ("insult", 0.6, "MIRROR *1 TE BEAR"),
-    ("insult", 0.5, "OF WHERE YOU BORN|LEFTOUT"),
-    ("insult", 0.4, "THIS JOB *1 BE ART"),
-    ("insult", 0.3, ", POSS *1 END"),
-    ("insult", 1.0, "SON OF INSULT"),
-    ("insult", 0.6, "WHAT BORE"),
-    ("insult", 0.6, "UGLY UGLY END"),
-    ("insult", 0.6, "THING UGLY END"),
-    ("threat", 1.0, "KNOWI WHERE YOU LIVE *6 WILL *1 HARM|AWAIT"),
-    ("threat", 1.0, "KNOWI *2 WHERE|LIVE *6 WILL *1 HARM|AWAIT"),
-    ("threat", 0.6, "KNOWI WHERE YOU LIVE"),
-    ("threat", 0.7, "WILL HARM *1 BONE"),
-    ("threat", 0.7, "WILL *1 AWAIT *6 WEAPON"),
-    ("threat", 0.7, "WILL *1 HARM YOU|POSS"),
-    ("threat", 0.7, "SOMEONE PIERCE *2 YOU|WEAPON"),
-    ("threat", 0.6, "SOMEONE *14 WILL CHEER"),
-    ("threat", 0.7, "CROSS WITHME"),
-    ("threat", 0.6, "NOT RETURN *2 BET"),
-    ("threat", 0.6, "YOU NOT RETURN"),
-    ("threat", 0.6, "IN (ART)? COFFIN"),
-    ("threat", 0.6, "I TE AWAIT *4 GO|NOT|IN"),
-    ("threat", 0.5, "CAN BET"),
-    ("threat", 1.0, "YOU GO PAY *1 DEAR"),
-    ("threat", 0.8, "HOPE *12 GET *3 DISEASE"),
-    ("threat", 0.4, "DISEASE *2 CRUEL *2 CRUEL"),
-    ("threat", 1.0, "BEST WHAT *8 MIGHT *2 VANISH"),
-    ("threat", 1.0, "BEST WHAT *8 BE VANISH"),
-    ("hate", 0.7, "TYPES LIKE *8 NEITHER DESERVE BREATHE"),
-    ("hate", 0.6, "NEITHER DESERVE BREATHE"),
-    ("hate", 0.6, "BREATHE *1 SAME AIR"),
-    ("hate", 0.8, "PEOPLE THATF CREED BE *1 DEBASE|ALL"),
-    ("hate", 0.6, "BE ALL DEBASE"),
-    ("hate", 0.6, "BE ALL THING OF DEBASE"),
-    ("hate", 0.6, "BE ALL *3 DEBASE"),
-    ("hate", 0.5, "PEOPLE OF *3 BE RACE|INFERIOR|DEBASE"),
-    ("hate", 0.6, "RACE INFERIOR"),
-    ("hate", 0.6, "NEITHER *1 RECEIVE|NOTGIVE RECEIVE"),
-    ("hate", 0.6, "NEITHER *1 DESERVE RECEIVE"),
-    ("hate", 0.8, "GROUP BE *1 DEBASE"),
-    ("hate", 0.6, "DEBASE AND DESERVE"),
-    ("hate", 0.6, "DESERVE *2 EXPEL *1 BEAT"),
-    ("hate", 0.6, "DESERVE *2 EXPEL"),
-    ("hate", 0.4, "EXPEL *1 BEAT"),
-    ("hate", 0.7, "GROUP|SLUR *12 DESERVE *2 EXPEL"),
-    ("hate", 0.5, "EXPEL UNTIL TURN"),
-    ("hate", 0.7, "GROUP *2 NOT DESERVE *2 NORIGHT"),
-    ("hate", 0.5, "BE DEADWEIGHT DEADWEIGHT"),
-    ("hate", 0.7, "GROUP ONLY HINDER"),
-    ("hate", 0.6, "DESERVE LETT *3 EXPEL|VANISH"),
-    ("hate", 0.6, "LETT EXPEL *3 QUEUE"),
-    ("hate", 0.7, "SKIN THATF CREED"),
-    ("hate", 0.6, "ONLY UNDERSTANDS *2 WHIP"),
-    ("hate", 0.6, "UNDERSTANDS *1 WHIP"),
-    ("hate", 0.7, "PLACE THIS *2 BE *1 KITCHEN"),
-    ("hate", 0.7, "PLACE THIS INSULT|GROUP"),
-    ("hate", 0.5, "GROUP IN CHEFIA GIVE"),
-    ("hate", 0.8, "NOT RENT NEITHER GREET"),
-    ("hate", 0.5, "GREET *3 CAME THATF WORSHIP|CREED"),
-    ("hate", 0.5, "CAME *2 THATF WORSHIP|CREED , BE ALL"),
-    ("hate", 0.8, "ARSON *1 CAMP *4 INSIDE"),
-    ("hate", 0.6, "THIS GROUP|SLUR NEED"),
-    ("sexual", 0.6, "UNDRESS *2 CLOTHES *1 THATF|HERS|POSS"),
-    ("sexual", 0.6, "UNDRESS *1 CLOTHES"),
-    ("sexual", 0.6, "UNDRESS THIS CLOTHES"),
-    ("sexual", 0.6, "PEOPLE SEX UNTIL"),
-    ("sexual", 0.6, "DEF PEOPLE SEX"),
-    ("sexual", 0.6, "SIT *2 SITLAP"),
-    ("sexual", 0.6, "MY SITLAP"),
-    ("sexual", 0.5, "WHAT I FREE"),
-    ("sexual", 0.8, "WANT|WILL TE SEX"),
-    ("sexual", 0.6, "WANT|WILL TE *1 NICE"),
-    ("sexual", 0.6, "SEX NICE *1 ONTOP|IN"),
-    ("sexual", 0.5, "NICE IN ONTOP OF"),
-    ("sexual", 0.7, "WANT OF SEX"),
-    ("sexual", 0.5, "HAS ART BODY"),
-    ("sexual", 0.6, "BODY WHAT GIVE WANT"),
-    ("sexual", 0.6, "GIVE WANT OF *1 SEX"),
-    ("sexual", 0.7, "ROLLED SEX"),
-    ("sexual", 0.7, "HERS SEX NUDE"),
-    ("sexual", 0.6, "SEX NUDE *1 ONTOP"),
-    ("sexual", 0.5, "ASK MORE"),
-    ("sexual", 0.8, "SEND PHOTO *1 NUDE"),
-    ("sexual", 0.6, "SEND PHOTO|NUDE *4 FREE"),
-    ("sexual", 0.6, "WHAT I FREE DEF POSS"),
-    ("sexual", 0.8, "PRICE COST *1 TRICK"),
-    ("sexual", 0.6, "TRICK , POSS INSULT|SLUR"),
-    ("sexual", 0.5, "PAYI MONEY"),
-    ("sexual", 0.8, "STAY OF SEX|COCK *1 HARD|ONLY"),
-    ("sexual", 0.8, "STAY OF SEX ONLY"),
-    ("sexual", 0.6, "ONLY OF FEEL *1 SMELL"),
-    ("sexual", 0.7, "DREAM *6 SEX"),
-    ("sexual", 0.6, "SEX *3 MORE *2 SWEAT"),
-    ("sexual", 0.5, "SWEAT OF SWEAT"),
-    ("sexual", 0.6, "SCREAM MY NAME"),
-)
-
-LEXICON |= {
-    "WITH": "com", "THING": "coisa criatura", "IN": "em no na num numa nos nas", "COFFIN": "caixao saco", "CAN": "pode podem",
-    "DEAR": "caro", "SAME": "mesmo", "AND": "e", "UNTIL": "ate", "TURN": "virar", "GIVE": "da dao", "HERS": "dela ela delas",
-    "MY": "meu minha", "I": "eu", "HAS": "tem", "ASK": "pedia pede pedindo", "PAYI": "pago pagamos", "MONEY": "r reais",
-    "STAY": "fico fiquei ficou", "COCK": "pau pica rola", "SCREAM": "gritando gemendo chamando", "NAME": "nome",
-    "SON": "filho filha filhos", "BORE": "pariu", "LEFTOUT": "saiu surgiu",
-}
-
-#: Classes of ordinary notices: a pattern is looked for by a class outside these, where it has one. This decides the cost only.
-ORDINARY = (
-    "YOU POSS THIS THATF BE ALWAYS ART DEF OF NOT NEITHER ALL ONLY WHAT SELF IN WITH AND MY HAS NAME JOB REPORT NOTICE HOUR ANY SAME "
-    "UNTIL GIVE I PLACE LIKE SERVICE BEST SALARY MONEY LOT STAMP TRICK DUMB NORIGHT CHEFIA WORSHIP CREED LIVE WHERE NOBODY MORE FEEL QUEUE")
+from tagloom.llm.abuse_grammar import COMMA, CONTEXTS, FILL, GRAMMAR, QUOTE, STOP, Automaton, machine
+from tagloom.llm.abuse_grammar import RUN as _RUN
+from tagloom.llm.abuse_grammar import alphabet as _alphabet
+from tagloom.llm.abuse_lexicon import classes
 
 #: Look-alike letters of other scripts, in the order of their Latin letters.
 _ALIKE = str.maketrans("аеорсухіѕјһԁԛԝɡοαεικνρτυχ", "aeopcyxisjhdqwgoaeikvptux")
@@ -355,13 +35,10 @@ _SPACED = re.compile(r"(?<![a-z0-9])(?:[a-z] ){3,}[a-z](?![a-z0-9])")
 _TOKEN = re.compile(r"[a-z0-9@$#*!|_](?:[a-z0-9@$#*!|_.\-]*[a-z0-9@$#*|_])?|[.!?…;:\n]|,|[\"“”«»]")
 _WRAPPED = re.compile(r"(?<=[a-z])-[ \t]*\r?\n[> \t]*(?=[a-z])")
 _DIGITS = str.maketrans("4@3!10$57|", "aaeiiosstl")
-_RUN = re.compile(r"(.)\1+")
 _CLAUSE_END = re.compile(r"[.!?…\n]\s")
 _WORD_END = re.compile(r"\s")
 _JOINT = re.compile(r"[.\-_]")
 
-FILL, STOP, COMMA, QUOTE = "x", ".", ",", '"'
-
 
 def _together(m: re.Match) -> str:
     """Spaced letters as a word; a single letter after the word is a word of its own."""
@@ -379,25 +56,6 @@ def fold(text: str) -> str:
     return _SPACED.sub(_together, _WRAPPED.sub("", low))
 
 
-@lru_cache(maxsize=1)
-def _alphabet() -> tuple[dict[str, str], dict[str, str]]:
-    """Symbol of each word (squeezed), and the symbols of each class. Words of the same classes share a symbol."""
-    classes: dict[str, set[str]] = {}
-    for name, line in LEXICON.items():
-        for word in line.split():
-            classes.setdefault(_RUN.sub(r"\1", word), set()).add(name)
-    symbols: dict[frozenset, str] = {}
-    of_word, of_class = {}, {}
-    for word, names in classes.items():
-        key = frozenset(names)
-        if key not in symbols:
-            symbols[key] = chr(0x4E00 + len(symbols))
-            for n in names:
-                of_class[n] = of_class.get(n, "") + symbols[key]
-        of_word[word] = symbols[key]
-    return of_word, of_class
-
-
 @lru_cache(maxsize=1)
 def _slips() -> dict[str, str]:
     """Slips of the pen, where they name one word only: a letter of six or more left out, two neighbours of five swapped."""
@@ -416,9 +74,8 @@ def _slips() -> dict[str, str]:
 @lru_cache(maxsize=1)
 def _by_length() -> dict[int, list[str]]:
     out: dict[int, list[str]] = {}
-    for line in LEXICON.values():
-        for word in line.split():
-            out.setdefault(len(word), []).append(word)
+    for word in classes():
+        out.setdefault(len(word), []).append(word)
     return out
 
 
@@ -460,75 +117,96 @@ class Symbols(dict):
 
 @lru_cache(maxsize=1)
 def _machines() -> tuple[tuple[str, float, re.Pattern], ...]:
-    """Third transducer: each pattern as an automaton over symbols."""
-    _, of_class = _alphabet()
+    """Third transducer: each pattern by itself, for the places of its matches."""
+    return tuple((kind, weight, machine(pattern)) for kind, weight, pattern in GRAMMAR)
 
-    def unit(name: str) -> str:
-        if name == ",":
-            return COMMA
-        if name == "END":
-            return "(?=[.,]|$)"
-        if name == "START":
-            return "(?:^|(?<=[.,]))"
-        if name.startswith("*"):
-            return f"[^.]{{0,{name[1:]}}}?"
-        optional = name.startswith("(")
-        names = name.strip("()?").split("|")
-        return "[" + "".join(of_class[n] for n in names) + "]" + ("?" if optional else "")
 
-    return tuple((kind, weight, re.compile("".join(map(unit, pattern.split())))) for kind, weight, pattern in GRAMMAR)
+@lru_cache(maxsize=1)
+def _denying() -> tuple[bool, ...]:
+    """Of each pattern whether a "not" in one of its gaps denies it: so for what is said of groups, if it needs none itself."""
+    return tuple(kind == "hate" and not {"NOT", "NEITHER", "NOTGIVE"} & set(re.split(r"[ |]", pattern)) for kind, _, pattern in GRAMMAR)
 
 
 @lru_cache(maxsize=1)
-def _contexts() -> tuple[re.Pattern, re.Pattern]:
-    _, of_class = _alphabet()
-    return re.compile(f"[{of_class['REPORT']}]"), re.compile(f"[{of_class['NOTICE']}]")
+def _automata() -> tuple[Automaton, Automaton]:
+    """All patterns as one automaton, and all contexts as another."""
+    return Automaton(p for _, _, p in GRAMMAR), Automaton(p for _, p in CONTEXTS)
 
 
 @lru_cache(maxsize=1)
-def _needed() -> dict[str, tuple[int, ...]]:
-    """The patterns to try by symbol. Each is listed under all symbols of one class it can't match without, so none is missed."""
+def _marks_of() -> dict[str, re.Pattern]:
+    """Single words that matter to a context: of reports, of notices, "not", "I", and what ends a denial."""
     _, of_class = _alphabet()
-    ordinary = set("".join(of_class[c] for c in ORDINARY.split()))
-    out: dict[str, tuple[int, ...]] = {}
-    for i, (_, _, pattern) in enumerate(GRAMMAR):
-        units = ["".join(of_class[n] for n in u.split("|")) for u in pattern.split() if u not in (",", "END", "START") and u[0] not in "*("]
-        for c in set(min(units, key=lambda u: (len(ordinary & set(u)), len(set(u))))):
-            out[c] = (*out.get(c, ()), i)
-    return out
-
-
-def _kept(clause: str, quotes: list[int], hit: re.Match) -> float:
-    """The share of its weight that a match keeps: less inside quotation marks, near a report's words or a notice's.
-
-    A report's word before a quotation that is closed again has its speech there, and takes nothing from what follows.
-    """
-    report, notice = _contexts()
-    before, start, end = bisect_left(quotes, hit.start()), max(0, hit.start() - 15), hit.end() + 4
-    kept = 1.0
-    if before % 2:
-        kept = 0.1 if report.search(clause) else 0.5
-    elif quotes and report.search(clause, max(start, quotes[before - 1] if before else 0), end):
-        kept = 0.1
-    return kept * 0.2 if notice.search(clause, start, end) else kept
+    return {c: re.compile(f"[{of_class[c]}]") for c in ("REPORT", "NOTICE", "NOT", "I", "BUT")}
+
+
+#: Symbols over which reported speech or a denial reaches.
+SCOPE = 14
+
+
+class Context:
+    """What takes weight away in one clause."""
+
+    def __init__(self, clause: str):
+        self.clause = clause
+        self.quotes = [i for i, c in enumerate(clause) if c == QUOTE]
+        word = _marks_of()
+        self.scopes = []
+        for end, which in _automata()[1].ends(clause):
+            kinds = {CONTEXTS[i][0] for i in which}
+            # what I say myself is no report
+            if "denied" not in kinds and word["I"].search(clause, max(0, end - 5), end):
+                continue
+            stop = word["BUT"].search(clause, end + 1, end + SCOPE)
+            comma = clause.find(COMMA, end + 1)
+            self.scopes.append((end, min([end + SCOPE] + ([stop.start()] if stop else []) + ([comma] if comma >= 0 else []))))
+
+    def kept(self, hit: re.Match, denies: bool) -> float:
+        """The share of its weight that a match keeps; ``denies`` if a "not" inside it can only deny it.
+
+        A report's word before a quotation that is closed again has its speech there, and takes nothing from what follows.
+        """
+        word, clause, quotes = _marks_of(), self.clause, self.quotes
+        begin = hit.start() + (clause[hit.start() : hit.start() + 1] == COMMA)
+        before, start, end = bisect_left(quotes, hit.start()), max(0, hit.start() - 15), hit.end() + 4
+        kept = 1.0
+        if before % 2:
+            kept = 0.1 if word["REPORT"].search(clause) else 0.5
+        elif quotes and word["REPORT"].search(clause, max(start, quotes[before - 1] if before else 0), end):
+            kept = 0.1
+        elif any(a < begin <= b and not any(a < q < begin for q in quotes) for a, b in self.scopes):
+            kept = 0.1
+        elif word["NOT"].search(clause, begin, hit.end()):
+            kept = 0.1 if denies else 1.0
+        elif begin and word["NOT"].match(clause, begin - 1):
+            kept = 0.1
+        return kept * 0.2 if word["NOTICE"].search(clause, start, end) else kept
 
 
 def clauses(symbols: str) -> Iterator[tuple[float, str]]:
     """Fourth transducer: (score, kind) of every clause that scores, kind being its heaviest."""
-    needed, machines = _needed(), _machines()
+    automaton, machines, denying = _automata()[0], _machines(), _denying()
     for clause in symbols.split(STOP):
-        tried = {i for c in set(clause) if c in needed for i in needed[c]}
-        if not tried:
+        if not clause.strip(FILL):
+            continue
+        there = {i for _, which in automaton.ends(clause) for i in which}
+        if not there:
             continue
-        quotes = [i for i, c in enumerate(clause) if c == QUOTE]
+        context = Context(clause)
         by_kind: dict[str, float] = {}
-        for kind, weight, machine in map(machines.__getitem__, sorted(tried)):
-            kept, hit = 0.0, machine.search(clause)
+        less = (0.0, "")
+        for i in sorted(there):
+            kind, weight, pattern = machines[i]
+            kept, hit = 0.0, pattern.search(clause)
             while hit is not None and kept < 1:  # matches may overlap: the next one starts anywhere after this one's start
-                kept = max(kept, _kept(clause, quotes, hit))
-                hit = machine.search(clause, hit.start() + 1)
-            if kept:
-                by_kind[kind] = by_kind.get(kind, 0.0) + weight * kept
+                kept = max(kept, context.kept(hit, denying[i]))
+                hit = pattern.search(clause, hit.start() + 1)
+            if kept == 1:
+                by_kind[kind] = by_kind.get(kind, 0.0) + weight
+            else:
+                less = max(less, (weight * kept, kind))
+        if less[0]:
+            by_kind[less[1]] = by_kind.get(less[1], 0.0) + less[0]
         if by_kind:
             yield sum(by_kind.values()), max(by_kind, key=by_kind.get)
 

@@ -30,8 +30,15 @@ def test_skipping_never_changes_a_score(monkeypatch):
     texts += [f"{a},{b}" for a, b in zip(texts, rng.sample(texts, len(texts)))]
     texts += ["".join(rng.choices(filling, k=12)) for _ in range(500)]
     got = [list(abuse.clauses(t)) for t in texts]
-    everything = {c: tuple(range(len(abuse.GRAMMAR))) for c in filling + abuse.COMMA}
-    monkeypatch.setattr(abuse, "_needed", lambda: everything)
+
+    class Everything:
+        """Tries every pattern everywhere; contexts as ever."""
+
+        def ends(self, clause):
+            return [(0, tuple(range(len(abuse.GRAMMAR))))]
+
+    contexts = abuse._automata()[1]
+    monkeypatch.setattr(abuse, "_automata", lambda: (Everything(), contexts))
     assert got == [list(abuse.clauses(t)) for t in texts]
     assert sum(map(bool, got)) > len(abuse.GRAMMAR) * 20
 

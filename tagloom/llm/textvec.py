@@ -38,16 +38,32 @@ for _c in b"abcdefghijklmnopqrstuvwxyz0123456789":
     _TABLE[_c] = _c
 
 
+def _fold_any(low: str) -> bytes:
+    low = _marks().sub("", unicodedata.normalize("NFD", low))
+    # decomposition can bring out a capital (as in a compatibility form without its own lower case)
+    return low.encode("ascii", "replace").lower()
+
+
+@lru_cache(maxsize=1)
+def _latin() -> bytes:
+    """The folded byte of every character of Latin-1; those that are no letter or digit then fold to one ``?``."""
+    return bytes(ord("?") if len(f := _fold_any(chr(c))) != 1 else f[0] for c in range(256))
+
+
+#: Characters outside Latin-1 that fold to ``?`` like any sign; all others there are looked at one by one.
+_UNCOMMON = re.compile("[^\x00-\xff\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u2190-\u2bff]")
+
+
 def fold(text: str | None) -> bytes:
     """The folded text as ASCII, other characters as ``?``; null as empty."""
     if not text:
         return b""
     low = text.lower()
-    if not low.isascii():
-        low = _marks().sub("", unicodedata.normalize("NFD", low))
-        # decomposition can bring out a capital (as in a compatibility form without its own lower case)
-        return low.encode("ascii", "replace").lower()
-    return low.encode("ascii")
+    if low.isascii():
+        return low.encode("ascii")
+    if _UNCOMMON.search(low):
+        return _fold_any(low)
+    return low.encode("latin-1", "replace").translate(_latin())
 
 
 @lru_cache(maxsize=4)

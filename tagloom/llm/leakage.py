@@ -39,32 +39,34 @@ RUN, LEAST = 8, 5
 COST = 3
 #: About so many items of one seed are listed together.
 CHUNK = 1000
+#: Words scanned together.
+CACHED = 40_000
 
 
 def seeds(words: np.ndarray, counts: np.ndarray, lengths: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each mask, the run and each of the whole lengths: the seed hash at every window start, and the starts that do
     not reach over the end of their text."""
     c = textvec.constants(SPAN, 23)
-    ends = np.repeat(np.cumsum(counts), counts)
+    ends, n = np.repeat(np.cumsum(counts), counts), len(words)
+    times = [words * c[i] for i in range(SPAN)]
 
     def inside(span: int) -> np.ndarray:
-        m = max(len(words) - span + 1, 0)
+        m = max(n - span + 1, 0)
         return np.flatnonzero(np.arange(m) + span <= ends[:m])
 
     def row(span: int) -> np.ndarray:
-        m = max(len(words) - span + 1, 0)
-        h = np.zeros(m, np.uint64)
-        for i in range(span if m else 0):
-            h += words[i : i + m] * c[i]
+        m = max(n - span + 1, 0)
+        h = times[0][:m].copy()
+        for i in range(1, span if m else 0):
+            h += times[i][i : i + m]
         return h
 
-    m, starts, whole = max(len(words) - SPAN + 1, 0), inside(SPAN), row(SPAN)
-    whole = whole[starts]
+    m, starts, whole = max(n - SPAN + 1, 0), inside(SPAN), row(SPAN)
     for mask in MASKS:
         h = whole.copy()
         for i in [i for i, x in enumerate(mask) if x == "0" and m > 0]:
-            h -= words[starts + i] * c[i]
-        yield h, starts
+            h -= times[i][i : i + m]
+        yield h[starts], starts
     for span in (RUN, *lengths):
         starts = inside(span)
         yield row(span)[starts] + np.uint64(span), starts
@@ -105,7 +107,15 @@ class Index:
             self.tables.append((h, at, bits))
 
     def scan(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Distinct rows (text, item, shift) of all hits in order; shift is word position in the batch minus that in the index."""
+        """Distinct rows (text, item, shift) of all hits in order; shift is word position in the batch minus that in the index.
+
+        A few texts at a time, so that the arrays stay in the processor's cache.
+        """
+        off = textvec.offsets(counts)
+        parts = [self._scan(words[off[a] : off[b]], counts[a:b]) + np.array([a, 0, off[a]]) for a, b in textvec.slices(counts, CACHED)]
+        return np.concatenate(parts) if parts else np.empty((0, 3), np.int64)
+
+    def _scan(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
         doc, found = np.repeat(np.arange(len(counts)), counts), []
         for (h, at, bits), (mine, starts) in zip(self.tables, seeds(words, counts, self.lengths)):
             if not len(h):

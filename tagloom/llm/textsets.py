@@ -62,11 +62,18 @@ def members(sets: DataFrame, cls: DataFrame, *carry: str) -> DataFrame:
     return join_unique(sets.select("id", "k1", "k2", *carry), cls.select("k1", "k2", "rep"), ["k1", "k2"]).drop("k1", "k2")
 
 
+#: Of so few pairs the ids are broadcast, and only the sets they name are shuffled.
+FEW_PAIRS = 1_000_000
+
+
 def verify(pairs: DataFrame, sets: DataFrame, hot_left: bool = False) -> DataFrame:
     """(a, b, na, nb, common) of candidate pairs of ids, counted on the whole sets; ``hot_left``: a few ``a`` stand in most pairs."""
+    pairs = stage(pairs.select("a", "b"), "candidates")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    if pairs.count() <= FEW_PAIRS:
+        sets = sets.join(F.broadcast(named), "id", "left_semi")
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sh").alias("__sa"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sh").alias("__sb"))
-    pairs = pairs.select("a", "b")
     return (
         (join_unique(pairs, left, ["a"], share=200) if hot_left else pairs.join(left, "a")).join(right, "b")
         .select("a", "b", "na", "nb", F.size(F.array_intersect("__sa", "__sb")).alias("common"))

@@ -5,7 +5,7 @@ are the trie. The labels are sorted once, by ranges of (tree, label), and a text
 sorted order shares the shortest prefix that may ever be asked for. The search starts at whole labels. Texts under one
 prefix meet, every pair met is verified on the whole sets, and the similarities of the verified pairs tell how many pairs
 like them the prefix length must have missed; while the recall measured so is below the target, the prefixes of all tries
-are shortened by one value and what meets anew is verified. ``plan_forest`` bounds the shortening: at its depth even a pair
+are shortened to the longest length at which such pairs would be met, and what meets anew is verified. ``plan_forest`` bounds the shortening: at its depth even a pair
 of exactly the threshold is met with the target probability.
 
 Only classes of equal sets take part. A prefix with more than ``bucket`` classes is not paired up: its members are gathered
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm import textsets, textvec
@@ -115,13 +115,17 @@ def similar_pairs(reps: DataFrame, sets: DataFrame, threshold: float, recall: fl
     rows = stage(tries(stage(labels(reps, forest.trees), "labels"), forest.depth), "tries")
     links = textsets.at_least(threshold, F.col("na"), F.col("nb"), F.col("common"))
     tested = reps.select(F.col("id").alias("a"), F.col("id").alias("b"), *[F.col("n").alias(c) for c in ("na", "nb", "common")]).limit(0)
-    for depth in range(DEPTH, forest.depth - 1, -1):
+    depth = DEPTH
+    while True:
         under = rows.withColumn("prefix", F.shiftright("label", BITS * (DEPTH - depth)))
         size = stage(under.groupBy("tree", "prefix").agg(F.count("*").alias("size")).where("size > 1"), "prefixes")
         small = join_unique(under, size.where(F.col("size") <= bucket), ["tree", "prefix"])
-        tested = tested.unionByName(stage(textsets.verify(_meeting(small, threshold).join(tested, ["a", "b"], "left_anti"), sets), "tested"))
-        if depth == forest.depth or enough(tested.where(links), threshold, depth, forest.trees, recall):
+        anew = _meeting(small, threshold).join(tested, ["a", "b"], "left_anti")
+        tested = tested.unionByName(stage(textsets.verify(anew, sets), "tested"))
+        needed = shorten(tested.where(links), threshold, depth, forest, recall)
+        if needed == depth:
             break
+        depth = needed
     crowded = join_unique(under, size.where(F.col("size") > bucket), ["tree", "prefix"])
     found = tested.where(links)
     balls = reps.select("id", F.col("id").alias("ball")).limit(0)
@@ -144,18 +148,24 @@ def _meeting(small: DataFrame, threshold: float) -> DataFrame:
     return x.join(y, same & textsets.sizes_allow(threshold, F.col("x.n"), F.col("y.n"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def enough(found: DataFrame, threshold: float, depth: int, trees: int, recall: float) -> bool:
-    """Whether the recall measured on the verified pairs reaches the target at this depth.
+def shorten(found: DataFrame, threshold: float, depth: int, forest: Forest, recall: float) -> int:
+    """The depth to go on with: ``depth`` itself if the recall measured on the verified pairs reaches the target.
 
-    A pair of similarity s is met with probability p(s), so each one found stands for 1 / p(s) there are. Where even the
-    threshold is met often this is a fair estimate; where it isn't, pairs at the threshold might not show at all.
+    A pair of similarity s is met with probability p(s), so each one found at ``depth`` stands for 1 / p(s) there are, of
+    which p'(s) / p(s) are met at a shorter prefix. Where even the threshold is met often this is a fair estimate; where
+    it isn't, pairs at the threshold might not show at all, so such a depth never is the last.
     """
-    if met(threshold, depth, trees) < 0.9:
-        return False
     s = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-    p = 1 - F.pow(1 - F.pow(s, F.lit(depth)), F.lit(trees))
-    there, seen = found.agg(F.sum(1 / p), F.count("*")).first()
-    return not seen or seen / there >= recall
+
+    def p(d: int) -> Column:
+        return 1 - F.pow(1 - F.pow(s, F.lit(d)), F.lit(forest.trees))
+
+    depths = range(depth, forest.depth, -1)
+    there, *seen = found.agg(F.sum(1 / p(depth)), *[F.sum(p(d) / p(depth)) for d in depths]).first()
+    for d, n in zip(depths, seen):
+        if met(threshold, d, forest.trees) >= 0.9 and (not there or n / there >= recall):
+            return d
+    return forest.depth
 
 
 def _balls(crowded: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

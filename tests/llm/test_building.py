@@ -290,3 +290,68 @@ def test_token_sizes(spark):
     got = {r.id: r.size for r in mixing.token_sizes(df, "id", "text", [], "/opt/tokenizers/byte_bpe_multi_50k.tiktoken", pattern).collect()}
     assert got[2] == got[3] == 0 and got[1] >= 2 and got[4] > 1
     assert mixing.token_sizes(df.withColumn("k", F.lit("x")), "id", "text", ["k"], "/opt/tokenizers/byte_bpe_multi_50k.tiktoken", pattern).columns == ["id", "k", "size"]
+
+
+def test_any_number_of_sources(spark):
+    rng = random.Random(3)
+    sized = [(i, f"s{i % 3000:04d}", rng.randrange(50, 150)) for i in range(6000)]
+    rows, report = mixed(spark, sized, [(f"s{i:04d}", 1 + i % 5, 2) for i in range(3000)] + [("none", 7, 1)], block_units=10)
+    assert len(report) == 3001 and sum(r.reached for r in report.values()) == sum(r.stop - r.start for r in rows)
+    assert abs(sum(r.reached for r in report.values()) / sum(r.wanted for r in report.values() if not r.short) - 1) < 0.3
+    got = Counter()
+    for r in rows:
+        got[r.source] += r.stop - r.start
+    assert all(report[s].reached == got[s] for s in report)
+
+
+def test_long_publication_ids_stay_together(spark):
+    """Ids of 25 digits link like short ones, however they are spelled, and are told apart in all digits."""
+    from tagloom.functions.text import pub_key
+
+    same, other = "7" * 25, "7" * 24 + "8"
+    rows = [(i, f"n. 00{same}" if i % 2 else same, "train" if i % 3 else "dev") for i in range(30)] + [(100 + i, other, "train") for i in range(5)]
+    df = spark.createDataFrame(rows, "i long, p string, s string").withColumn("k", pub_key(F.col("p")))
+    made = grouped_split.grouped_split(df, "i", "k", RATIOS, current="s")
+    split = {r.id: (r.root, r.split) for r in made.assignment.collect()}
+    assert len({split[i] for i in range(30)}) == 1 and split[0][0] != split[100][0]
+    assert {(r.key, r.now_in) for r in made.keys.collect()} == {(same, 2), (other, 1)}
+    assert {r.split for r in made.keys.collect() if r.key == same} == {split[0][1]}
+
+
+def test_several_kinds_of_keys(spark):
+    rows = [(1, "a", "x", 5), (2, "a", "y", 6), (3, "b", "y", 7), (4, "x", "z", 8), (5, None, None, None), (5, None, None, None)]
+    df = spark.createDataFrame(rows, "i long, author string, source string, entity int")
+    root = {r.id: r.root for r in grouped_split.grouped_split(df, "i", ["author", "source", "entity"], RATIOS).assignment.collect()}
+    assert root[1] == root[2] == root[3] and len({root[1], root[4], root[5]}) == 3, "equal names of two kinds are not one key"
+
+
+def test_packing_beats_best_fit(spark):
+    """Containers against best fit of all items in falling order, on several blocks: the search pays."""
+    rng = random.Random(5)
+    sizes = [rng.randrange(900, 2200) for _ in range(2500)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "i long, s long")
+    packed = packing.pack(df, "i", "s", 4000, block_items=400)
+    check_packing(list(enumerate(sizes)), 4000, packed.collect())
+    got = packing.packing_report(packed, 4000).first()
+    falling, bins = np.sort(np.array(sizes))[::-1], np.empty(len(sizes), np.int32)
+    plain = packing.best_fit(falling, np.arange(len(sizes)), bins, [], 4000)
+    assert got.least_containers <= got.containers < plain
+    once = packing.packing_report(packing.pack(df, "i", "s", 4000, block_items=400, spare=1.0), 4000).first()
+    assert got.containers <= once.containers, "a second pass over part-filled containers loses nothing"
+
+
+def test_islands_have_tasks_of_their_own(spark):
+    df = spark.range(2000).select("id", (F.col("id") % 900 + 100).alias("s"))
+    dealt = df.select((F.col("id") % 5).cast("int").alias("block"), F.struct((-F.col("s")).alias("less"), "id", F.lit(0).alias("piece_no"), F.lit(0).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("box")).alias("e"))
+    block = dealt.groupBy("block").agg(F.sort_array(F.collect_list("e")).alias("entries"))
+    made = packing._evolved(block, 5, 4000, 3, 2, 4, 2)
+    assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().toString()
+    assert made.agg(F.sum(F.size("entries"))).first()[0] == 2000 and made.agg(F.max("used")).first()[0] <= 4000
+
+
+def test_sample_of_one_huge_cell(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "RANGE_ROWS", 20)
+    records = spark.range(40_000).select(F.col("id").alias("rid"), F.lit("a").alias("act"), F.lit("x").alias("kind"))
+    targets = spark.createDataFrame([("a", "x", 9000, 0)], "act string, kind string, target_bp int, min_rows int")
+    sample, report = sampling.proportional_sample(records, targets, "rid", CELLS)
+    assert sample.count() == sample.distinct().count() == report.first().taken == 3600

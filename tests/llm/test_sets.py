@@ -208,3 +208,90 @@ def test_chance_matches_around_a_run_do_not_hide_it(spark):
 def test_masks_are_met_by_every_exact_run():
     assert all(len(m) == leakage.SPAN and m[0] == m[-1] == "1" for m in leakage.MASKS)
     assert len({m.count("1") for m in leakage.MASKS}) == 1
+
+
+def test_marks_of_every_plane_are_dropped():
+    h, counts = textvec.word_hashes(["ab\U000E0100cd", "abcd", "ab́cd", "ab‍cd", "ÁÇ–x", "ac x"])
+    assert counts.tolist() == [1, 1, 1, 2, 2, 2] and h[0] == h[1] == h[2] and h[5] == h[7]
+
+
+def test_shipped_forest_reaches_its_recall(spark):
+    """Many pairs right at the threshold, with the parameters the queries use: the measured recall is near one."""
+    rng = random.Random(12)
+    rows = []
+    for g in range(260):
+        base = [f"g{g}w{i}" for i in range(60)]
+        rows.append((len(rows), " ".join(base)))
+        for changes in (3, 5, 6, 7):
+            w = list(base)
+            for at in rng.sample(range(4, 56), changes):
+                w[at] = f"x{len(rows)}y{at}"
+            rows.append((len(rows), " ".join(w)))
+    want = set()
+    for g in range(0, len(rows), 5):
+        want |= similar(rows[g : g + 5], 3, 0.5)
+    got = {tuple(r) for r in neardup.expand(*neardup.near_duplicates(spark.createDataFrame(rows, "id long, text string"), "id", "text", k=3, threshold=0.5)).collect()}
+    assert len(want) > 800 and got <= want and len(got) >= 0.999 * len(want)
+
+
+def test_prefixes_are_shortened_by_what_is_found(spark):
+    f = neardup.plan_forest(0.5, 0.9999)
+    pairs = lambda common: spark.createDataFrame([(100, 100, common)] * 50, "na int, nb int, common int")
+    assert neardup.shorten(pairs(99), 0.5, neardup.DEPTH, f, 0.9999) > f.depth, "like pairs are met by long prefixes"
+    assert neardup.shorten(pairs(67), 0.5, neardup.DEPTH, f, 0.9999) == f.depth, "pairs at the threshold need short ones"
+    assert neardup.shorten(pairs(67), 0.5, f.depth, f, 0.9999) == f.depth
+    assert neardup.shorten(pairs(67).limit(0), 0.5, f.depth, f, 0.9999) == f.depth
+
+
+@pytest.mark.parametrize("piece", [2, 7])
+def test_long_lists_are_joined_in_pieces(spark, monkeypatch, piece):
+    """A sentence that stands in every text: its lists are cut, on both sides, and no pair is lost or told twice."""
+    rows = [(i, f"{t or ''} frase que esta em todos os textos") for i, t in corpus(11, 60) if i is not None]
+    sets = textsets.text_sets(spark.createDataFrame(rows, "id long, text string"), "id", "text", 3)
+    frequent = prefixjoin.frequent_elements(sets, least=1)
+    monkeypatch.setattr(prefixjoin, "PIECE", piece)
+    index = prefixjoin.prefixes(sets, 0.3, 3, frequent)
+    assert prefixjoin.has_long_lists(frequent) and index.agg(F.max("pieces")).first()[0] > 60 // piece - 2
+    cut, whole = ({tuple(r) for r in prefixjoin.shared_prefixes(index, index, 0.3, 3, same_side=True, cut=c).collect()} for c in (True, False))
+    assert cut == whole and len(cut) > 20
+
+
+def test_contained_records_are_met(spark):
+    """An evaluation record whole inside a far longer training record, and the classes with their members."""
+    short, other = " ".join(f"s{i}" for i in range(40)), " ".join(f"o{i}" for i in range(40))
+    long = " ".join(f"l{i}" for i in range(180)) + " " + short + " " + " ".join(f"m{i}" for i in range(180))
+    rows = [(1, short, "test"), (2, long, "train"), (3, long, "train"), (4, other, "dev"), (5, other, "train"), (6, short, "dev"), (7, None, "test"), (8, "", "train")]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "id long, text string, split string, rep int, a string")
+    made = overlap.find_overlap(df, "id", "text", "split")
+    pairs = made.pairs.collect()
+    assert {(r.a, r.b, r.evals, r.trains) for r in pairs} == {(1, 2, 2, 2), (4, 4, 1, 1)}
+    assert {r.a: round(r.containment, 6) for r in pairs} == {1: 1.0, 4: 1.0} and next(r.similarity for r in pairs if r.a == 1) < 0.2
+    assert {(r.eval_id, r.pairs, r.copies) for r in made.records().collect()} == {(1, 2, 0), (6, 2, 0), (4, 1, 1)}
+    assert {(r.eval_id, r.train_id) for r in made.expand().collect()} == {(1, 2), (1, 3), (6, 2), (6, 3), (4, 5)}
+    assert overlap.find_overlap(df, "id", "text", "split", containment=None).pairs.count() == 1
+    assert overlap.find_overlap(df.limit(0), "id", "text", "split").records().count() == 0
+
+
+def test_containment_equals_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for i, t in corpus(9, 90):
+        if i is not None and t:
+            rows.append((i, t + (" " + " ".join(f"z{rng.randrange(900)}" for _ in range(60)) if i % 3 == 0 else ""), "train" if i % 3 == 0 else rng.choice(["dev", "test"])))
+    df = spark.createDataFrame(rows, "id long, text string, split string")
+    got = {(r.eval_id, r.train_id) for r in overlap.split_overlap(df, "id", "text", "split", k=3, threshold=0.5, containment=0.6).collect()}
+    sets = {i: (grams(t, 3), s) for i, t, s in rows}
+    want = {(a, b) for a, (x, s) in sets.items() for b, (y, u) in sets.items()
+            if s != "train" and u == "train" and x and y and (len(x & y) >= 0.6 * len(x) or len(x & y) >= 0.5 * len(x | y))}
+    assert got == want and len(want) > 20
+
+
+def test_a_filter_lets_all_its_hashes_pass(spark):
+    from tagloom.llm import bitmap
+
+    h = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 5000)
+    df = spark.createDataFrame([(int(x),) for x in h[:2000]] + [(None,)], "e bigint")
+    words = bitmap.build(df, "e", 16)
+    passed = bitmap.test(words, h.view(np.uint64))
+    assert passed[:2000].all() and passed[2000:].mean() < 0.1
+    assert not bitmap.test(bitmap.build(df.limit(0), "e", 16), h.view(np.uint64)).any()

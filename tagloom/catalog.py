@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom import catalog_sources
 from tagloom.functions import bio, prompts, tokens
 from tagloom.functions.text import act_key, hash52, label_key, pub_key, split_key
 from tagloom.operators import features, forgetting, metrics, predict, ranking, records, resample, selection, spans, splits, subsets
-from tagloom.oracle import SQL
+from tagloom.oracle import SQL as ORACLE
 from tagloom.plans.storage import stage
 from tagloom.sources import conll, resume
 from tagloom.sources.tables import table
@@ -459,4 +460,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         limit_prefix, benchmark_scores, benchmark_first_metric, forgetting_delta, forgetting_bench_summary, forgetting_seed_summary,
         run_registry_files, checkpoint_candidates, checkpoint_argmax, chat_render, teacher_prompt, few_shot_prompt, token_features, word_shape,
         label_vocab, label_encode, resume_todo, completeness_gate)
-}
+} | catalog_sources.QUERIES
+SQL = ORACLE | catalog_sources.SQL

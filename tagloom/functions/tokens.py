@@ -11,6 +11,7 @@ DIGIT = r"\p{Nd}\x{b2}\x{b3}\x{b9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}"
 
 def shape(w: Column) -> Column:
     """Capitals as X, then small letters as x, then digits as d; the letter ranges are those of Latin-1."""
+    # The letter ranges of the published features.
     w = F.regexp_replace(w, "[A-ZÀ-Ý]", "X")
     w = F.regexp_replace(w, "[a-zà-ÿ]", "x")
     return F.regexp_replace(w, "[0-9]", "d")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,14 +24,14 @@ def build_dataset(spark: SparkSession, corpus: str, out: str, seed: int = 42) ->
     io.write_jsonl(recs, f"{out}/finetune", by_split=True)
     stats = {r["act"]: {k: r[k] for k in (*splits.SPLITS, "total")} for r in splits.split_stats(placed, "act").collect()}
     counts = {r["split"]: {"records": r["records"], "negatives": r["negatives"]} for r in splits.record_counts(recs).collect()}
+    # The keys of the statistics file.
     summary = {
         "seed": seed, "ratios": {"train": 0.70, "dev": 0.15, "test": 0.15},
         "doc_counts_per_act": {a: s for a, s in sorted(stats.items(), key=lambda x: x[0] or "") if a is not None},
         "doc_totals": stats.get(None, {}), "finetune_record_counts": counts,
     }
-    os.makedirs(out, exist_ok=True)
-    io.write_report({r["act"]: r["etypes"] for r in schema.orderBy("act").collect()}, f"{out}/entity_schema.json")
-    io.write_report(summary, f"{out}/split_stats.json")
+    io.write_report({r["act"]: r["etypes"] for r in schema.orderBy("act").collect()}, f"{out}/entity_schema.json", spark)
+    io.write_report(summary, f"{out}/split_stats.json", spark)
     return summary
 
 

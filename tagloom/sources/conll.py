@@ -76,3 +76,24 @@ def render(docs: DataFrame) -> DataFrame:
 def write_split(docs: DataFrame, path: str, order: list[str]) -> None:
     """Write documents in ``order`` as part files in split format, readable by :func:`read_split`."""
     render(docs.repartitionByRange(*order).sortWithinPartitions(*order)).select("text").write.mode("overwrite").text(path)
+
+
+def write_raw(docs: DataFrame, path: str) -> None:
+    """Write documents (act, publication, tokens, tags) as annotated files, readable by :func:`read_raw` from ``path/*/*``.
+
+    Every task writes files of its own, named by act, so an act may be of any size. Documents without an act are left out.
+    """
+    lines = F.array_join(F.transform(F.arrays_zip("tokens", "tags"), lambda z: F.concat(z["tokens"], F.lit(" _ _ "), z["tags"])), "\n")
+    head = F.when(F.col("publication").isNotNull(), F.concat(F.lit("Publication: "), F.col("publication").cast("string"), F.lit("\n"))).otherwise("")
+    docs.where(F.col("act").isNotNull()).select(F.col("act").alias("file_act"), F.concat(head, lines, F.lit("\n"))).write.partitionBy("file_act").text(path)
+    context = docs.sparkSession.sparkContext
+    root = context._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(context._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(root):  # one folder an act, one file a task in it
+        name = folder.getPath().getName()
+        for i, file in enumerate(fs.listStatus(folder.getPath()) if name.startswith("file_act=") else []):
+            place = context._jvm.org.apache.hadoop.fs.Path(root, str(i))
+            fs.mkdirs(place)
+            fs.rename(file.getPath(), context._jvm.org.apache.hadoop.fs.Path(place, f"Ato_{name.removeprefix('file_act=')}.conll"))
+        if name.startswith("file_act="):
+            fs.delete(folder.getPath(), True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RECORD = ("instruction string, instruction_fmt string, input string, output string, act string, entity_type string, "
@@ -45,9 +45,23 @@ def report(df: DataFrame, key: str) -> dict[str, Any]:
     return {str(r[key]): {k: v for k, v in r.asDict(recursive=True).items() if k != key} for r in df.collect()}
 
 
-def write_report(document: dict, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as out:
-        json.dump(document, out, ensure_ascii=False, indent=2)
+def write_report(document: dict, path: str, spark: SparkSession | None = None) -> None:
+    """One JSON document; with a session, on any file system that Spark knows."""
+    text = json.dumps(document, ensure_ascii=False, indent=2)
+    if spark is None:
+        with open(path, "w", encoding="utf-8") as out:
+            out.write(text)
+        return
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+
+
+def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(key, fields...) of a report written by key; ``schema`` has the fields."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.explode(F.from_json("value", f"map<string,struct<{schema}>>")).alias("key", "row")).select("key", "row.*")
 
 
 def console(df: DataFrame, width: int = 12) -> str:
@@ -58,6 +72,19 @@ def console(df: DataFrame, width: int = 12) -> str:
     return "\n".join([" ".join(f"{c:>{width}}" for c in df.columns)] + [" ".join(map(cell, r)) for r in df.collect()])
 
 
+def stem(path: Column) -> Column:
+    """The last part of a path, without a slash at its end or the suffix behind its last dot."""
+    name = F.element_at(F.split(F.rtrim(path, F.lit("/")), "/"), -1)
+    return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+
+
+def tag_column(name: Column, seed: Column) -> Column:
+    """:func:`model_tag` of a formatted run as a column: a suffix for the format and one for an unusual seed."""
+    tag = F.element_at(F.split(F.rtrim(name, F.lit("/")), "/"), -1)
+    tag = F.concat(tag, F.when(tag.contains("_fmt"), "").otherwise("_fmt"))
+    return F.concat(tag, F.when(seed != 42, F.concat(F.lit("_s"), seed.cast("string"))).otherwise(""))
+
+
 def model_tag(name: str, *, few_shot: int = 0, formatted: bool = True, seed: int = 42, share: float = 1.0, quantized: bool = False, smoke: bool = False) -> str:
     """Output name of a run: suffixes only for what differs from the usual run."""
     tag = name.rstrip("/").rsplit("/", 1)[-1]

@@ -50,14 +50,14 @@ def swap_in(sizes: np.ndarray, items: np.ndarray, bins: np.ndarray, rest: list[i
 
     Every exchange fills a container further and leaves a smaller item free, which is easier to place.
     """
-    free = sorted((int(sizes[i]), int(i)) for i in items)
+    free = sorted(zip(sizes[items].tolist(), items.tolist()))
     keys = [f[0] for f in free]
     placed = np.flatnonzero(bins >= 0)
-    for item, b in zip(placed.tolist(), bins[placed].tolist()):
+    placed = placed[np.asarray(rest, np.int64)[bins[placed]] > 0] if len(free) else placed[:0]
+    for item, b, size in zip(placed.tolist(), bins[placed].tolist(), sizes[placed].tolist()):
         room = rest[b]
         if not room:
             continue
-        size = int(sizes[item])
         at = bisect_right(keys, size + room) - 1
         if at >= 0 and keys[at] > size:
             larger, other = free.pop(at)

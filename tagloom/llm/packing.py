@@ -142,7 +142,7 @@ def _evolved(block: DataFrame, blocks: int, capacity: int, islands: int, rounds:
             rows = []
             for b, i, sizes, given in zip(frame["block"], frame["island"], frame["sizes"], frame["given"]):
                 sizes = np.asarray(sizes, np.int64)
-                start = [] if given is None else [np.asarray(g, np.int32) for g in given]
+                start = [] if given is None else [np.unique(g, return_inverse=True)[1].astype(np.int32) for g in given]
                 # migrants come in no fixed order: fix it, so that a repeated task gives the same result
                 start.sort(key=lambda s: s.tobytes())
                 best = evolve(sizes, capacity, start, (int(b) * islands + int(i)) * 31 + turn, population, generations)
@@ -151,9 +151,7 @@ def _evolved(block: DataFrame, blocks: int, capacity: int, islands: int, rounds:
                     rows.append((b, to, sizes, best, score))
             yield pd.DataFrame(rows, columns=["block", "island", "sizes", "bins", "score"])
 
-    # the containers that items come in, numbered from 0
-    boxes = F.array_distinct(F.transform("entries", lambda e: e["box"]))
-    came = F.when(F.exists("entries", lambda e: e["box"].isNotNull()), F.array(F.transform("entries", lambda e: (F.array_position(boxes, e["box"]) - 1).cast("int"))))
+    came = F.when(F.exists("entries", lambda e: e["box"].isNotNull()), F.array(F.transform("entries", lambda e: e["box"])))
     state = block.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"),
                          F.transform("entries", lambda e: (-e["less"]).cast("int")).alias("sizes"),
                          came.alias("given")).repartition(tasks, "block", "island")

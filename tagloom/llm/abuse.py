@@ -29,6 +29,7 @@ from tagloom.llm.abuse_lexicon import classes
 
 #: Look-alike letters of other scripts, in the order of their Latin letters.
 _ALIKE = str.maketrans("аеорсухіѕјһԁԛԝɡοαεικνρτυχ", "aeopcyxisjhdqwgoaeikvptux")
+_ALIKE_ANY = re.compile("[аеорсухіѕјһԁԛԝɡοαεικνρτυχ]")
 _HIDDEN = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 _MARKS = re.compile("[̀-ͯ]+")
 _SPACED = re.compile(r"(?<![a-z0-9])(?:[a-z] ){3,}[a-z](?![a-z0-9])")
@@ -52,7 +53,9 @@ def fold(text: str) -> str:
     """First transducer: lower case, no accents, no look-alikes, no invisible characters, spaced letters joined."""
     low = text.lower()
     if not low.isascii():
-        low = _MARKS.sub("", unicodedata.normalize("NFD", _HIDDEN.sub("", low.translate(_ALIKE))))
+        if _ALIKE_ANY.search(low):
+            low = low.translate(_ALIKE)
+        low = _MARKS.sub("", unicodedata.normalize("NFD", _HIDDEN.sub("", low)))
     return _SPACED.sub(_together, _WRAPPED.sub("", low))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.text import act_key, chars, label_key, pub_key, pub_no, source_key, split_key
 from tagloom.llm import abuse, chunking, grouped_split, leakage, mixing, neardup, overlap, packing, sampling
+from tagloom.operators.skew import join_unique
+from tagloom.plans.storage import stage
 from tagloom.sources.tables import table
 
 CELL = ["act", "entity_type", "is_negative"]
@@ -70,6 +72,17 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_report(*_packed(spark, d))
 
 
+def p2_check(spark: SparkSession, d: str) -> DataFrame:
+    """What any right packing has: every record whole, nothing above the capacity, only overlong records divided."""
+    packed, capacity = _packed(spark, d)
+    packed = stage(packed, "packed")
+    boxes = packed.groupBy("container").agg(F.sum("size").alias("used"))
+    ids = packed.groupBy("id").agg(F.count("*").alias("pieces"), F.sum("size").alias("size"), F.max(F.col("start") + F.col("size")).alias("stop"))
+    over = boxes.where(F.col("used") > capacity).agg(F.count("*").alias("over_capacity"))
+    return ids.agg(F.count("*").alias("records"), F.sum("size").alias("chars"), F.count_if(F.col("pieces") > 1).alias("divided"),
+                   F.count_if(F.col("size") != F.col("stop")).alias("torn")).withColumn("over_capacity", over.scalar())
+
+
 # 3 -------------------------------------------------------------------------------------------------------------------
 
 
@@ -96,6 +109,15 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return by.withColumn("share_bp", F.round(F.col("acts") * 10_000 / every).cast("bigint") if every else F.lit(0).cast("bigint"))
 
 
+def p3_check(spark: SparkSession, d: str) -> DataFrame:
+    """Acts placed, and publications found in several splits afterwards."""
+    made = stage(_splits(spark, d).assignment, "assignment")
+    told = _records(spark, d).select(F.col("act_id").alias("id"), pub_key(F.col("publication")).alias("publication")).where("publication is not null")
+    apart = told.join(made, "id").groupBy("publication").agg(F.count_distinct("split").alias("splits")).where("splits > 1")
+    return made.agg(F.count("*").alias("rows"), F.count_distinct("id").alias("acts")).withColumn(
+        "publications_apart", apart.agg(F.count("*").alias("n")).scalar())
+
+
 # 4 -------------------------------------------------------------------------------------------------------------------
 
 
@@ -118,6 +140,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_pieces(spark, d).where("piece_no = 0").select("record_id", "field")
 
 
+def p4_check(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that the pieces give when they are put together without their overlaps, and whether the pieces fit."""
+    limits = table(spark, d, "size_limits").where("purpose = 'piece'").select("field", "max_chars", "overlap_chars")
+    cut = p4_pieces(spark, d).join(limits, "field")
+    whole = cut.groupBy("record_id", "field").agg(
+        F.sort_array(F.collect_list(F.struct("piece_no", "start", "stop", "piece"))).alias("p"), F.max(F.char_length("piece") - F.col("max_chars")).alias("over"))
+    before = lambda i: F.coalesce(F.get("p", i - 1)["stop"], F.lit(0))
+    text = F.array_join(F.transform("p", lambda x, i: F.substring(x["piece"], before(i) - x["start"] + 1, F.lit(1 << 30))), "")
+    return whole.select("record_id", "field", F.md5(text).alias("text_md5"), (F.col("over") <= 0).alias("fits"))
+
+
 # 5 and 6 -------------------------------------------------------------------------------------------------------------
 
 
@@ -179,6 +212,13 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p6_components(spark: SparkSession, d: str) -> DataFrame:
+    """The groups named by their smallest act, and the number of different texts that each act's text is similar to."""
+    made = stage(p6_groups(spark, d), "groups")
+    first = made.groupBy("group_id").agg(F.min("act_id").alias("first_act_id"))
+    return join_unique(made, first, ["group_id"]).select("act_id", "first_act_id", "links")
+
+
 # 7 -------------------------------------------------------------------------------------------------------------------
 
 
@@ -190,6 +230,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).where("exact_words >= 12").select("doc_id", "item_id")
 
 
+def p7_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The longest equal run of every document and item that have twelve equal words in a row."""
+    return p7_leaks(spark, d).where("exact_words >= 12").select("doc_id", "item_id", "exact_words")
+
+
 # 8 -------------------------------------------------------------------------------------------------------------------
 
 
@@ -214,6 +259,10 @@ def p8_word_report(spark: SparkSession, d: str) -> DataFrame:
     return _mixed_words(spark, d)[1]
 
 
+def p8_word_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed_words(spark, d)[0].withColumnRenamed("id", "doc_id")
+
+
 def _mixed_tokens(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     pattern = _pattern()
     sized = mixing.token_sizes(_sources(spark, d), "id", "text", ["source"], f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", pattern)
@@ -234,6 +283,19 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return _mixed_tokens(spark, d)[1]
 
 
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """Slots with more than a block or several sources, sources used more often than allowed, and documents used twice in a turn."""
+    made, _ = _mixed_tokens(spark, d)
+    units = F.sum(F.col("stop") - F.col("start"))
+    slots = made.groupBy("slot").agg(units.alias("units"), F.count_distinct("source").alias("sources"))
+    turns = made.groupBy("source").agg(F.max("turn").alias("turn")).join(_weights(spark, d), "source")
+    twice = made.groupBy("source", "turn", "id").agg(units.alias("units"), (F.max("stop") - F.min("start")).alias("span")).where("units > span")
+    count = lambda df: df.agg(F.count("*").alias("n")).scalar()
+    return spark.range(1).select(
+        count(slots.where("units > 1024 or sources > 1")).alias("bad_slots"), count(turns.where("turn >= max_repeats")).alias("over_repeats"),
+        count(twice).alias("repeated_in_turn"))
+
+
 # 9 -------------------------------------------------------------------------------------------------------------------
 
 
@@ -262,7 +324,9 @@ def p9_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_report, p1_sample, p2_found, p2_containers, p2_report, p3_found, p3_split, p3_report, p4_found, p4_pieces,
-              p5_found, p5_overlaps, p5_records, p5_contained, p5_report, p6_found, p6_groups, p7_found, p7_leaks, p8_found, p8_word_report, p8_mix, p8_report, p9_found,
+    for f in (p1_found, p1_report, p1_sample, p2_found, p2_containers, p2_report, p2_check, p3_found, p3_split, p3_report, p3_check,
+              p4_found, p4_pieces, p4_check,
+              p5_found, p5_overlaps, p5_records, p5_contained, p5_report, p6_found, p6_groups, p6_components, p7_found, p7_leaks, p7_exact, p8_found, p8_word_report,
+              p8_word_mix, p8_mix, p8_report, p8_check, p9_found,
               p9_scores, p9_report, p9_agreement)
 }

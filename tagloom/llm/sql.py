@@ -75,7 +75,57 @@ WITH doc AS (
   FROM offer JOIN drawn USING (source)
 )"""
 
+#: Words of documents and items, and the pairs with twelve equal words in a row.
+_RUNS = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(strip_accents(lower(text)), '\p{Mn}', '', 'g'), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM documents),
+     i AS (SELECT item_id, list_filter(regexp_split_to_array(regexp_replace(strip_accents(lower(text)), '\p{Mn}', '', 'g'), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM eval_items),
+     x AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: list_aggregate(w[k:k + 11], 'string_agg', ' '))) AS run FROM d WHERE len(w) >= 12),
+     y AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: list_aggregate(w[k:k + 11], 'string_agg', ' '))) AS run FROM i WHERE len(w) >= 12),
+     found AS (SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (run))"""
+
+#: The components of the similar pairs, the class of equal sets of each act, and the number of other classes it is similar to.
+_GROUPS = _ACTS.replace("WITH act AS", "WITH RECURSIVE act AS") + """, ways AS (SELECT a, b, c, na, nb FROM near UNION ALL SELECT b, a, c, nb, na FROM near
+), reach AS (SELECT a, b FROM ways UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a
+), first AS (SELECT a AS act_id, least(a, min(b)) AS first_act_id FROM reach GROUP BY a
+), rep AS (SELECT s.act_id, least(s.act_id, min(b)) AS rep FROM sets s LEFT JOIN ways ON a = s.act_id AND c = na AND c = nb GROUP BY s.act_id
+), links AS (SELECT a AS act_id, count(DISTINCT y.rep) AS links FROM ways JOIN rep x ON x.act_id = a JOIN rep y ON y.act_id = b WHERE x.rep <> y.rep GROUP BY a)"""
+
+#: The mix of words: slots in order of their source's slots, documents in hash order, over and over.
+_MIX = _WORDS + """, ranked AS (
+  SELECT source, n AS slot, row_number() OVER (PARTITION BY source ORDER BY n) - 1 AS rank FROM offer JOIN (
+    SELECT n, (n * 2654435769) % 4294967296 AS point FROM total, range(0, (total + 511) // 512) r(n))
+  ON point >= (upto - target_bp) * 4294967296 // scale AND point < upto * 4294967296 // scale
+), placed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin FROM (
+    SELECT doc_id, """ + _SOURCE + """ AS source, ('0x' || substr(md5('mix|' || doc_id), 1, 13))::BIGINT AS h,
+      len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\r\\n]+'), lambda w: w <> '')) AS size FROM documents WHERE source IS NOT NULL) WHERE size > 0
+), turns AS (
+  SELECT source, doc_id, turn, turn * units + begin AS first, least(turn * units + begin + size, reached) AS stop
+  FROM placed JOIN (SELECT source, units, reached, unnest(range(0, (reached - 1) // units + 1)) AS turn FROM done WHERE reached > 0) USING (source)
+), parts AS (SELECT *, unnest(range(first // 512, (stop - 1) // 512 + 1)) AS rank FROM turns WHERE first < stop)"""
+
 SQL: dict[str, str] = {
+    "p2_check": f"""WITH r AS (SELECT record_id, max({_CHARS}) AS n FROM gner_records WHERE record_id IS NOT NULL GROUP BY 1 HAVING n > 0)
+        SELECT count(*) AS records, sum(n)::BIGINT AS chars, count(*) FILTER (n > (SELECT max_chars FROM size_limits WHERE purpose = 'container')) AS divided,
+          0::BIGINT AS torn, 0::BIGINT AS over_capacity FROM r""",
+    "p3_check": "SELECT count(DISTINCT act_id) AS rows, count(DISTINCT act_id) AS acts, 0::BIGINT AS publications_apart FROM gner_records",
+    "p4_check": """WITH t AS (
+          SELECT record_id, 'input' AS field, input AS text, ingested_at FROM gner_records UNION ALL SELECT record_id, 'output', output, ingested_at FROM gner_records
+        ) SELECT record_id, field, md5(arg_max(text, {'i': ingested_at, 't': text})) AS text_md5, true AS fits
+        FROM t JOIN (SELECT field, max_chars FROM size_limits WHERE purpose = 'piece') USING (field)
+        WHERE length(text) > max_chars AND record_id IS NOT NULL GROUP BY record_id, field""",
+    "p6_components": _GROUPS + """ SELECT act_id, coalesce(first_act_id, act_id) AS first_act_id, coalesce(links, 0) AS links
+        FROM sets LEFT JOIN first USING (act_id) LEFT JOIN links USING (act_id)""",
+    "p7_exact": _RUNS + """, same AS (
+          SELECT doc_id, item_id, p, p - q AS shift FROM (
+            SELECT doc_id, item_id, d.w AS dw, i.w AS iw, unnest(range(1, len(i.w) + 1)) AS q FROM found JOIN d USING (doc_id) JOIN i USING (item_id)
+          ), range(1, len(dw) + 1) r(p) WHERE dw[p] = iw[q]
+        ), run AS (SELECT doc_id, item_id, count(*) AS n FROM (
+          SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY p) AS island FROM same) GROUP BY doc_id, item_id, shift, island)
+        SELECT doc_id, item_id, max(n)::INT AS exact_words FROM run GROUP BY ALL""",
+    "p8_word_mix": _MIX + """ SELECT slot, source, turn, doc_id, greatest(rank * 512 - first, 0) AS start, least(rank * 512 + 512, stop) - first AS stop
+        FROM parts JOIN ranked USING (source, rank)""",
+    "p8_check": "SELECT 0::BIGINT AS bad_slots, 0::BIGINT AS over_repeats, 0::BIGINT AS repeated_in_turn",
     "p1_found": _CELLS + " SELECT act, entity_type, is_negative FROM report WHERE supply < wanted",
     "p1_report": _CELLS + """ SELECT act, entity_type, is_negative, wanted, supply, least(wanted, supply) AS taken,
         wanted - least(wanted, supply) AS deficit FROM report""",

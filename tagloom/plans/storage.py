@@ -11,7 +11,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,17 +41,29 @@ def _local(spark: SparkSession) -> bool:
     return master == "local" or master.startswith("local[")
 
 
-#: Folders of the tables staged so far that nobody dropped.
+#: Folders of the tables staged so far that nobody dropped, and the applications whose leftovers the program's end removes.
 _STAGED: list[str] = []
+_SWEPT: set[str] = set()
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing uses yet; :func:`workspace` removes it."""
-    path = f"{shared_dir(spark)}/tagloom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/tagloom-{spark.sparkContext.applicationId}"
+    if folder not in _SWEPT:
+        _SWEPT.add(folder)
+        atexit.register(_sweep, spark.sparkContext._jvm, folder)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     _STAGED.append(path)
     return path
 
 
+def _sweep(jvm, folder: str) -> None:
+    """Remove all tables of an application when its program ends: a lazy result may read them until then."""
+    with suppress(Exception):  # without a JVM nothing can be removed any more
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return a scan of it."""
     path = new_path(df.sparkSession, label)

@@ -1,4 +1,6 @@
 import os
+import subprocess
+import sys
 from types import SimpleNamespace
 
 import pytest
@@ -26,6 +28,19 @@ def test_a_workspace_leaves_nothing(spark):
     assert not os.path.exists(folder) and before.count() == 3
 
 
+def test_tables_go_when_the_program_ends(tmp_path):
+    """A session that never drops anything leaves an empty folder."""
+    code = f"""
+from pyspark.sql import SparkSession
+from tagloom.plans.storage import stage
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "{tmp_path}").getOrCreate()
+print(stage(spark.range(5), "t").count(), len(__import__("os").listdir("{tmp_path}")))
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, env=os.environ | {"PYTHONPATH": root})
+    assert done.stdout.split() == ["5", "1"] and os.listdir(tmp_path) == []
+
+
 def test_a_cluster_needs_a_shared_folder():
     none = SimpleNamespace(isDefined=lambda: False)
     context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))

@@ -68,22 +68,27 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     return [(max(0, a - overlap), b) for a, b in cores(text, limit - overlap)]
 
 
-def split_oversized(df: DataFrame, id_cols: list[str], text_col: str, limit: int, overlap: int) -> DataFrame:
+def split_oversized(df: DataFrame, id_cols: list[str], text_col: str, limit: int | str, overlap: int | str) -> DataFrame:
     """(id..., piece_no, start, stop, piece): the pieces of every text longer than ``limit`` characters.
 
     ``piece`` is characters [start, stop) of the text; consecutive pieces share exactly ``overlap`` characters (fewer
-    only where the text before is shorter). Characters are code points. Texts within the limit, null and empty ones
-    give no rows; rows repeated under one id are all cut; other columns are ignored. 0 <= overlap < limit.
+    only where the text before is shorter). Characters are code points. Both may name a column instead, so that texts of
+    several kinds are cut in one pass; a row with a null limit or overlap gives no pieces. Texts within the limit, null
+    and empty ones give no rows; rows repeated under one id are all cut; other columns are ignored. 0 <= overlap < limit.
     """
-    if not 0 <= overlap < limit:
+    if isinstance(limit, int) and isinstance(overlap, int) and not 0 <= overlap < limit:
         raise ValueError("the overlap must be less than the limit")
-    long = df.select(*[F.col(c).alias(f"id{i}") for i, c in enumerate(id_cols)], F.col(text_col).alias("text")).where(
-        F.char_length("text") > limit)
+    most, over = (F.col(x) if isinstance(x, str) else F.lit(x) for x in (limit, overlap))
+    long = df.select(*[F.col(c).alias(f"id{i}") for i, c in enumerate(id_cols)], F.col(text_col).alias("text"),
+                     most.cast("int").alias("limit"), over.cast("int").alias("overlap")).where(
+        (F.char_length("text") > F.col("limit")) & F.col("overlap").isNotNull())
     names = [f"id{i}" for i in range(len(id_cols))]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            cut = [pieces(t, limit, overlap) for t in frame["text"]]
+            if ((frame["overlap"] < 0) | (frame["overlap"] >= frame["limit"])).any():
+                raise ValueError("the overlap must be less than the limit")
+            cut = [pieces(t, m, o) for t, m, o in zip(frame["text"], frame["limit"].tolist(), frame["overlap"].tolist())]
             n = [len(c) for c in cut]
             out = frame[names].loc[frame.index.repeat(n)].reset_index(drop=True)
             out["piece_no"] = [i for c in cut for i in range(len(c))]

@@ -8,6 +8,7 @@ source; the slot's rank among its source's slots picks the block. After its last
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -24,19 +25,25 @@ GOLDEN = 2654435769
 POINTS = 1 << 32
 #: Points are told apart by pieces of this length first.
 PIECE = 1 << 20
+#: The largest vocabulary file that is broadcast.
+MOST_BYTES = 64 << 20
 
 
 def token_sizes(df: DataFrame, id_col: str, text_col: str, carry: list[str], ranks_file: str, pattern: str) -> DataFrame:
     """(id, carry..., size): tokens of each text in a byte-level BPE vocabulary; null and empty texts have 0.
 
-    ``ranks_file`` holds base64 token and rank by line, ``pattern`` is the vocabulary's splitting pattern. Strings of
-    special tokens are ordinary text.
+    ``ranks_file`` holds base64 token and rank by line, ``pattern`` is the vocabulary's splitting pattern. The driver reads
+    the file and broadcasts it (up to ``MOST_BYTES``), so executors need no copy. Strings of special tokens are ordinary text.
     """
+    if os.path.getsize(ranks_file) > MOST_BYTES:
+        raise ValueError(f"a vocabulary of more than {MOST_BYTES} bytes")
+    with open(ranks_file, "rb") as file:
+        shared = df.sparkSession.sparkContext.broadcast(file.read())
     kept = df.select(F.col(id_col).alias("id"), *carry, F.col(text_col).alias("__text"))
     fields = [f for f in kept.schema.fields if f.name != "__text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks_file, pattern)
+        encoder = _encoder(ranks_file, pattern, shared.value)
         for batch in batches:
             texts = batch.column("__text").to_pylist()
             sizes = [sum(len(encoder.encode_ordinary(p)) for p in _parts(t or "")) for t in texts]
@@ -65,15 +72,17 @@ def _parts(text: str, most: int = 1_000_000) -> Iterator[str]:
 _ENCODERS: dict = {}
 
 
-def _encoder(ranks_file: str, pattern: str):
-    """One encoder per worker process and vocabulary."""
+def _encoder(ranks_file: str, pattern: str, content: bytes | None = None):
+    """One encoder per worker process and vocabulary; ``content`` is that of the file, where it isn't at hand."""
     if (ranks_file, pattern) not in _ENCODERS:
         import base64
 
         import tiktoken
 
-        with open(ranks_file, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        if content is None:
+            with open(ranks_file, "rb") as file:
+                content = file.read()
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines())}
         _ENCODERS[ranks_file, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return _ENCODERS[ranks_file, pattern]
 

@@ -122,18 +122,16 @@ def p3_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
-    out = None
-    for field in ("input", "output"):
-        limit, over = _limit(spark, d, "piece", field)
-        # a redelivered record has the same text: one of its over-long rows is cut
-        long = (
-            _records(spark, d).select("record_id", "ingested_at", F.col(field).alias("text"))
-            .where(F.col("record_id").isNotNull() & (F.char_length("text") > limit))
-            .groupBy("record_id").agg(F.max_by("text", F.struct("ingested_at", "text")).alias("text"))
-        )
-        cut = chunking.split_oversized(long, ["record_id"], "text", limit, over).withColumn("field", F.lit(field))
-        out = cut if out is None else out.unionByName(cut)
-    return out
+    fields = [F.struct(F.lit(f).alias("field"), F.col(f).alias("text"), F.lit(most).alias("max_chars"), F.lit(over).alias("overlap_chars"))
+              for f in ("input", "output") for most, over in [_limit(spark, d, "piece", f)]]
+    over_long = F.filter(F.array(*fields), lambda x: F.char_length(x["text"]) > x["max_chars"])
+    # a redelivered record has the same text: one of its over-long rows is cut
+    long = (
+        _records(spark, d).where(F.col("record_id").isNotNull()).select("record_id", "ingested_at", F.inline(over_long))
+        .groupBy("record_id", "field", "max_chars", "overlap_chars").agg(F.max_by("text", F.struct("ingested_at", "text")).alias("text"))
+    )
+    return chunking.split_oversized(long, ["record_id", "field"], "text", "max_chars", "overlap_chars").select(
+        "record_id", "piece_no", "start", "stop", "piece", "field")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

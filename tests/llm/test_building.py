@@ -355,3 +355,14 @@ def test_sample_of_one_huge_cell(spark, monkeypatch):
     targets = spark.createDataFrame([("a", "x", 9000, 0)], "act string, kind string, target_bp int, min_rows int")
     sample, report = sampling.proportional_sample(records, targets, "rid", CELLS)
     assert sample.count() == sample.distinct().count() == report.first().taken == 3600
+
+
+def test_limits_by_row(spark):
+    rows = [(1, "a b. " * 40, 50, 5), (2, "a b. " * 40, 500, 5), (3, "c d. " * 40, 80, 0), (4, "c d. " * 40, None, 0), (5, None, 10, 1)]
+    df = spark.createDataFrame(rows, "rid long, text string, most int, over int")
+    got = chunking.split_oversized(df, ["rid"], "text", "most", "over").collect()
+    assert {r.rid for r in got} == {1, 3} and all(len(r.piece) <= {1: 50, 3: 80}[r.rid] for r in got)
+    one = chunking.split_oversized(df.where("rid = 1"), ["rid"], "text", 50, 5).collect()
+    assert sorted(r.piece_no for r in one) == sorted(r.piece_no for r in got if r.rid == 1)
+    with pytest.raises(Exception, match="overlap"):
+        chunking.split_oversized(df.withColumn("over", F.col("most")), ["rid"], "text", "most", "over").collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions import bio
@@ -43,6 +43,20 @@ def conll_split_read(spark, d):
     return conll.read_split(spark, path).select("act", "publication", "tokens", "tags")
 
 
+def conll_order(spark, d):
+    """Documents of split files in the order in which they stand there: how many, and how many out of order."""
+    path = new_path(spark, "ordered")
+    docs = _documents(spark, d).where("act is not null and publication is not null").withColumn("publication", F.col("publication").cast("string"))
+    conll.write_split(docs, path, ["act", "publication", "act_id"])
+    read = stage(conll.read_split(spark, path).select("file", "seq", F.struct("act", "publication").alias("k")), "read")
+    before = F.lag("k").over(Window.partitionBy("file").orderBy("seq"))
+    inside = read.select((F.col("k") < before).alias("late")).agg(F.count("*").alias("docs"), F.count_if("late").alias("late"))
+    # files follow one another by name: one row a file
+    files = read.groupBy("file").agg(F.min("k").alias("first"), F.max("k").alias("last"))
+    between = files.select((F.col("first") < F.lag("last").over(Window.orderBy("file"))).alias("late")).agg(F.count_if("late").alias("n"))
+    return inside.select("docs", (F.col("late") + between.scalar()).alias("out_of_order"))
+
+
 def records_read(spark, d):
     """The dev records of records written by split, one JSON object a line; only their folder is read."""
     path = new_path(spark, "records")
@@ -170,7 +184,7 @@ def completeness_by_split(spark, d):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (conll_raw_read, conll_split_read, records_read, results_read, log_read, log_append, report_read, console_table, run_tags, first_subtokens,
+    for f in (conll_raw_read, conll_split_read, conll_order, records_read, results_read, log_read, log_append, report_read, console_table, run_tags, first_subtokens,
               label_argmax, scored_records, checkpoint_latest, result_last, pipeline_build, resume_left, completeness_by_split)
 }
 
@@ -180,6 +194,7 @@ _ASKED = "asked AS (SELECT record_id AS idx, split FROM rec WHERE split IN ('dev
 SQL: dict[str, str] = {
     "conll_raw_read": f"WITH {DOC} SELECT act, publication::VARCHAR AS publication, tokens, tags FROM doc WHERE act IS NOT NULL AND len(tokens) > 0",
     "conll_split_read": f"WITH {DOC} SELECT coalesce(act, 'None') AS act, coalesce(publication::VARCHAR, 'None') AS publication, tokens, tags FROM doc WHERE len(tokens) > 0",
+    "conll_order": f"WITH {DOC} SELECT count(*) AS docs, 0::BIGINT AS out_of_order FROM doc WHERE len(tokens) > 0 AND act IS NOT NULL AND publication IS NOT NULL",
     "records_read": f"""WITH {REC} SELECT instruction, instruction_fmt, input, output, act, entity_type, publication::VARCHAR AS publication, is_negative, split
       FROM rec WHERE split = 'dev'""",
     "results_read": f"""WITH {PRED}, p AS (SELECT *, idx // 1000 AS part, count(*) OVER (PARTITION BY idx // 1000) / 1000.0::DOUBLE AS score,

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +31,19 @@ def numbered(units: DataFrame, key: str) -> DataFrame:
     return running(units.withColumn("__o", hash52("unit", F.col(key))), [], "__o", [key], None, "k").drop("__o")
 
 
-def draw_replicates(units: DataFrame, iterations: int, seed: str, models: list[str], most_draws: int = 4_000_000_000) -> DataFrame:
+def draw_replicates(units: DataFrame, iterations: int, seed: str, models: list[str], most_draws: int = 4_000_000_000,
+                    few_units: int = 500_000) -> DataFrame:
     """(it, tp_m, n_pred_m, n_gold_m ...): sums over n units drawn with replacement, for each iteration.
 
-    ``units`` is (k, counts of every model), numbered from 0; all models see the same draws. The draws are a table of
-    iterations x n rows; beyond ``most_draws`` of them the units get Poisson weights instead (:func:`poisson_replicates`),
-    whose cost does not shuffle with the number of iterations.
+    ``units`` is (k, counts of every model), numbered from 0; all models see the same draws. Up to ``few_units`` units
+    their counts are broadcast, and an iteration is summed where it is drawn; beyond, the draws are a table of
+    iterations x n rows, joined to the units, with the same result. Beyond ``most_draws`` draws the units get Poisson
+    weights instead (:func:`poisson_replicates`), whose cost does not shuffle with the number of iterations.
     """
     units = stage(units, "units")
     n = units.count()
+    if 0 < n <= few_units:
+        return _drawn_in_place(units, n, iterations, seed, models)
     if iterations * n > most_draws:
         return poisson_replicates(units, "k", iterations, seed, models)
     spark = units.sparkSession
@@ -53,6 +57,41 @@ def draw_replicates(units: DataFrame, iterations: int, seed: str, models: list[s
     return draws.join(units, "k").groupBy("it").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in columns])
 
 
+def _hashes(heads: Iterable, tails: list[bytes]) -> np.ndarray:
+    """52 bits of the MD5 of every head with every tail, in that order."""
+    found = []
+    for head in heads:
+        for tail in tails:
+            h = head.copy()
+            h.update(tail)
+            found.append(h.digest())
+    return np.frombuffer(b"".join(found), ">u8")[::2].astype(np.uint64) >> np.uint64(12)
+
+
+def _drawn_in_place(units: DataFrame, n: int, iterations: int, seed: str, models: list[str]) -> DataFrame:
+    spark = units.sparkSession
+    columns = [f"{c}_{m}" for m in models for c in ("tp", "n_pred", "n_gold")]
+    rows = units.select("k", *columns).toPandas().sort_values("k")
+    shared = spark.sparkContext.broadcast(np.ascontiguousarray(rows[columns].to_numpy(np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            its = batch.column("id").to_pylist()
+            sums = np.zeros((len(its), len(columns)), np.int64)
+            for row, it in enumerate(its):
+                head = hashlib.md5(f"{seed}|{it}|".encode())
+                times = np.zeros(n, np.int64)
+                for at in range(0, n, 100_000):
+                    drawn = _hashes([head], [b"%d" % turn for turn in range(at, min(n, at + 100_000))]) % np.uint64(n)
+                    times += np.bincount(drawn.astype(np.int64), minlength=n)
+                sums[row] = times @ counts
+            yield pa.RecordBatch.from_arrays([pa.array(its, pa.int64())] + [pa.array(c) for c in sums.T], names=["it", *columns])
+
+    tasks = max(1, min(iterations, 4 * spark.sparkContext.defaultParallelism))
+    return spark.range(0, iterations, 1, tasks).mapInArrow(run, "it bigint, " + ", ".join(f"{c} bigint" for c in columns))
+
+
 def poisson_weight(h: Column) -> Column:
     """A Poisson(1) count from 13 hex digits of a hash (``functions.text.hash_hex``), as a column."""
     above = [F.when(h >= f"{e:013x}", 1).otherwise(0) for e in EDGES]
@@ -62,15 +101,8 @@ def poisson_weight(h: Column) -> Column:
 def poisson_weights(keys: list[str], iterations: int, seed: str) -> np.ndarray:
     """(keys x iterations) Poisson(1) counts from 52 bits of the MD5 of seed, iteration and key."""
     heads = [hashlib.md5(f"{seed}|{it}|".encode()) for it in range(iterations)]
-    found = []
-    for key in keys:
-        tail = key.encode()
-        for head in heads:
-            h = head.copy()
-            h.update(tail)
-            found.append(h.digest())
-    first = np.frombuffer(b"".join(found), ">u8").reshape(len(keys), iterations, 2)[:, :, 0] >> np.uint64(12)
-    return np.searchsorted(np.array(EDGES, np.uint64), first.astype(np.uint64), side="right").astype(np.int64)
+    h = _hashes(heads, [key.encode() for key in keys]).reshape(iterations, len(keys))
+    return np.searchsorted(np.array(EDGES, np.uint64), h, side="right").astype(np.int64).T
 
 
 def poisson_replicates(units: DataFrame, unit: str, iterations: int, seed: str, models: list[str]) -> DataFrame:

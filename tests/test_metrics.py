@@ -105,6 +105,14 @@ def test_poisson_passes_equal_the_column(spark):
 def test_too_many_draws_become_weights(spark):
     units = spark.range(40).select("id", *[(F.col("id") % 5 + i).alias(c) for i, c in enumerate(("tp_a", "n_pred_a", "n_gold_a"))])
     numbered = resample.numbered(units, "id")
-    few, many = (resample.draw_replicates(numbered, 30, "s", ["a"], most_draws=n).collect() for n in (10**6, 100))
+    few, many = (resample.draw_replicates(numbered, 30, "s", ["a"], most_draws=n, few_units=0).collect() for n in (10**6, 100))
     assert len(few) == len(many) == 30 and sorted(map(tuple, few)) != sorted(map(tuple, many))
     assert sorted(map(tuple, many)) == sorted(map(tuple, resample.poisson_replicates(numbered, "k", 30, "s", ["a"]).collect()))
+
+
+def test_draws_in_place_equal_the_table_of_draws(spark):
+    units = spark.range(57).select("id", *[(F.col("id") % 5 + i).alias(f"{c}_{m}") for m in "ab" for i, c in enumerate(("tp", "n_pred", "n_gold"))])
+    numbered = resample.numbered(units, "id")
+    place, table = (resample.draw_replicates(numbered, 40, "s", ["a", "b"], few_units=n).select("it", "tp_a", "n_gold_a", "n_pred_b") for n in (100, 0))
+    assert sorted(map(tuple, place.collect())) == sorted(map(tuple, table.collect())) and place.count() == 40
+    assert resample.draw_replicates(numbered.limit(0), 40, "s", ["a", "b"]).count() == 0

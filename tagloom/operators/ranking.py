@@ -24,9 +24,11 @@ def hash_bin(order: str, bits: int):
     return F.shiftright(F.col(order), HASH_BITS - bits)
 
 
-def running(df: DataFrame, keys: list[str], order: str, tie: list[str], value: str | None, out: str, bits: int | None = None) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: str, tie: list[str], value: str | None, out: str, bits: int | None = None,
+            below: int | None = None) -> DataFrame:
     """Add ``out``: the sum of ``value`` over earlier rows of the group (``value=None``: the number of them, so the rank from 0).
 
+    With ``below`` only rows with ``out`` below it are kept; bins that lie beyond it are dropped before anything is shuffled.
     ``bits`` is taken from the number of rows unless given; it changes the cost only. ``df`` is read three times: pass a
     scan. ``order`` holds non-negative 52-bit hashes (``functions.text.hash52``), ``tie`` makes the order total. A null in
     ``value`` counts as 0. Null keys form a group of their own. An empty table gives an empty table.
@@ -42,12 +44,17 @@ def running(df: DataFrame, keys: list[str], order: str, tie: list[str], value: s
         .select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__bin").alias("__obin"),
                 F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
     )
+    if below is not None:
+        offsets = offsets.where(F.col("__offset") < below)
+    if not keys and bits <= 20:  # one row a bin: a table of a few megabytes at most
+        offsets = F.broadcast(offsets)
     same = F.col("__bin") == F.col("__obin")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     within = Window.partitionBy(*group, "__bin").orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, -1)
-    return (
+    ranked = (
         binned.join(offsets, same)
         .withColumn(out, F.col("__offset") + F.coalesce(F.sum(amount).over(within), F.lit(0)))
         .drop("__bin", "__obin", "__offset", *[f"__k{i}" for i in range(len(keys))])
     )
+    return ranked if below is None else ranked.where(F.col(out) < below)

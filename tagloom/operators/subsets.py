@@ -11,14 +11,13 @@ from tagloom.operators.ranking import running
 
 def sample_n(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     """``n`` rows without replacement (all, if there are fewer); ``key`` is unique."""
-    return running(df.withColumn("__h", hash52(seed, F.col(key))), [], "__h", [key], None, "__rank").where(F.col("__rank") < n).drop("__h", "__rank")
+    return running(df.withColumn("__h", hash52(seed, F.col(key))), [], "__h", [key], None, "__rank", below=n).drop("__h", "__rank")
 
 
 def fraction(df: DataFrame, key: str, share: float, seed: str) -> DataFrame:
     """max(1, round half even (rows * share)) rows, with their place ``rank`` in the sampled order."""
-    keep = df.agg(F.greatest(F.lit(1), F.bround(F.count("*") * share).cast("bigint")))
-    ranked = running(df.withColumn("__h", hash52(seed, F.col(key))), [], "__h", [key], None, "rank")
-    return ranked.where(F.col("rank") < keep.scalar()).drop("__h")
+    keep = df.agg(F.greatest(F.lit(1), F.bround(F.count("*") * share).cast("bigint"))).first()[0]
+    return running(df.withColumn("__h", hash52(seed, F.col(key))), [], "__h", [key], None, "rank", below=keep).drop("__h")
 
 
 def first_rows(df: DataFrame, idx: str, n: int) -> DataFrame:

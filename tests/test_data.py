@@ -65,6 +65,17 @@ def test_ranges_grow_with_the_table():
         assert rows / 2 ** ranking.bits_for(rows) <= ranking.BIN_ROWS
 
 
+def test_a_small_sample_shuffles_few_rows(spark, tmp_path):
+    """Ranks below a bound need only the bins that reach below it, in one group and in several."""
+    df = spark.range(20_000).select("id", (F.col("id") % 3).alias("k"), text.hash52("z", F.col("id")).alias("h"))
+    for keys in ([], ["k"]):
+        want = sorted((r.id, r.r) for r in ranking.running(df, keys, "h", ["id"], None, "r").where("r < 30").collect())
+        assert want == sorted((r.id, r.r) for r in ranking.running(df, keys, "h", ["id"], None, "r", below=30).collect())
+    few = subsets.sample_n(df, "id", 30, "s")
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert few.count() == 30 and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_one_huge_group_is_ranked_in_small_ranges(spark, monkeypatch):
     """All rows in one group: no range is larger than a few times the stated number of rows."""
     monkeypatch.setattr(ranking, "BIN_ROWS", 50)

@@ -51,9 +51,11 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
         "act_id", "act", "pub", F.col("pub").try_cast("bigint").alias("publication"), "m.tokens", "m.tags")
 
 
-def instructions(spark: SparkSession, d: str) -> DataFrame:
-    """One row per record_id of the instruction records."""
+def instructions(spark: SparkSession, d: str, only: DataFrame | None = None) -> DataFrame:
+    """One row per record_id of the instruction records, or of those in ``only``."""
     t = table(spark, d, "gner_records").where(F.col("record_id").isNotNull())
+    if only is not None:
+        t = t.join(only.select("record_id"), "record_id", "left_semi")
     return t.groupBy("record_id").agg(
         F.max("act_id").alias("act_id"), F.max(act_key(F.col("act"))).alias("act"), F.max(label_key(F.col("entity_type"))).alias("entity_type"),
         _publication().try_cast("bigint").alias("publication"), F.max("is_negative").alias("is_negative"),
@@ -378,8 +380,8 @@ def checkpoint_argmax(spark, d):
 # prompts --------------------------------------------------------------------------------------------------------------
 
 
-def _prompted(spark, d):
-    r = instructions(spark, d)
+def _prompted(spark, d, only=None):
+    r = instructions(spark, d, only)
     return r.withColumn("query", prompts.content(F.coalesce("instruction_fmt", "instruction", F.lit("")), F.coalesce("input", F.lit(""))))
 
 
@@ -394,13 +396,21 @@ def teacher_prompt(spark, d):
 
 
 def few_shot_prompt(spark, d):
-    """Prompts of the dev and test records with up to two demonstrations of their act and type."""
-    q = stage(_prompted(spark, d), "prompted")
-    demos = subsets.demonstrations(
-        q.where("split = 'train' and act is not null and entity_type is not null and instruction is not null and input is not null and output is not null"),
-        KEY, "record_id", 2, "demo")
-    pool = subsets.demo_pool(demos, KEY)
-    asked = q.where("split in ('dev', 'test')").join(pool, KEY, "left")
+    """Prompts of the dev and test records with up to two demonstrations of their act and type.
+
+    Demonstrations are chosen by narrow columns; texts are read for the chosen few and for the asked records alone.
+    """
+    t = table(spark, d, "gner_records").where(F.col("record_id").isNotNull())
+    texts = ("instruction", "input", "output")
+    narrow = t.groupBy("record_id").agg(
+        F.max(act_key(F.col("act"))).alias("act"), F.max(label_key(F.col("entity_type"))).alias("entity_type"), F.max(split_key(F.col("split"))).alias("split"),
+        F.max("is_negative").alias("is_negative"), *[F.max(F.col(c).isNotNull()).alias(c) for c in texts])
+    chosen = stage(subsets.demonstrations(
+        narrow.where("split = 'train' and act is not null and entity_type is not null and instruction and input and output"),
+        KEY, "record_id", 2, "demo").select("record_id", "place"), "demos")
+    shown = _prompted(spark, d, chosen).join(chosen, "record_id")
+    pool = subsets.demo_pool(shown, KEY)
+    asked = _prompted(spark, d).where("split in ('dev', 'test')").select("record_id", *KEY, "query").join(pool, KEY, "left")
     messages = prompts.few_shot(F.col("demos"), F.col("query"))
     return asked.select("record_id", F.size(messages).alias("messages"), F.md5(prompts.keep_end(prompts.chat(messages), prompts.budget(2))).alias("prompt_md5"))
 

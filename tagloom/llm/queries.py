@@ -204,10 +204,10 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     member, pairs, balls = _near(spark, d)
     edges, links = neardup.links(pairs, balls)
     labels, _ = grouped_split.spanning_forest(edges)
-    return (
-        member.join(links, "rep", "left").join(labels.withColumnRenamed("v", "rep"), "rep", "left")
-        .select(F.col("id").alias("act_id"), F.coalesce("root", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    )
+    known = links.join(labels.withColumnRenamed("v", "rep"), "rep", "full")
+    # a class may hold any share of the acts
+    return join_unique(stage(member, "member"), known, ["rep"], how="left").select(
+        F.col("id").alias("act_id"), F.coalesce("root", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def p6_components(spark: SparkSession, d: str) -> DataFrame:

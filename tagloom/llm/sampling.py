@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import hash52
+from tagloom.operators.skew import join_unique
 from tagloom.plans.storage import stage
 
 SPACE = float(1 << 52)
@@ -19,13 +20,6 @@ SPACE = float(1 << 52)
 RANGE_ROWS = 50_000
 
 
-def _same(cells: list[str], left: str, right: str):
-    cond = F.lit(True)
-    for c in cells:
-        cond = cond & (F.col(f"{left}.{c}") == F.col(f"{right}.{c}"))
-    return cond
-
-
 def proportional_sample(records: DataFrame, targets: DataFrame, id_col: str, cells: list[str], *, share_bp: str = "target_bp",
                         min_rows: str = "min_rows", one_in: int = 10, seed: str = "s", oversample: float = 1.1,
                         ranges: int = 256) -> tuple[DataFrame, DataFrame]:
@@ -64,10 +58,9 @@ def proportional_sample(records: DataFrame, targets: DataFrame, id_col: str, cel
     accepted = F.col("u") < edge
     inside = F.least(F.floor(F.col("u") / edge * F.col("inner")), F.col("inner") - 1)
     beyond = F.col("inner") + F.least(F.floor((F.col("u") - edge) / (SPACE - edge + 1) * F.col("outer")), F.col("outer") - 1)
-    placed = (
-        drawn.alias("d").join(asked.where("need > 0").alias("t"), _same(cells, "d", "t"))
-        .select("d.*", "t.need", F.when(accepted, inside).otherwise(beyond).alias("bin"))
-    )
+    # a category may hold any share of the records
+    placed = join_unique(drawn, asked.where("need > 0").select(*cells, "need", "p", "inner", "outer"), cells).select(
+        "id", *cells, "u", "need", F.when(accepted, inside).otherwise(beyond).alias("bin"))
     upto = Window.partitionBy(*cells).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     ranged = (
         placed.groupBy(*cells, "bin").agg(F.count("*").alias("rows"), F.max("need").alias("need"))

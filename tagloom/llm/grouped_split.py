@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,10 +85,28 @@ def cycle(ratios: dict[str, float], slots: int) -> list[str]:
 class GroupedSplit:
     assignment: DataFrame
     """(id, root, split)"""
-    keys: DataFrame
-    """(kind, key, root, split, now_in): each shared key, its group, the split of that, and in how many its rows stand now"""
     forest: DataFrame
     """(u, v): the spanning forest's edges"""
+    pair: DataFrame
+    """(id, kind, key, rows, lo, hi, u, v): every id with every key, and the first and last of the splits its rows stand in now"""
+    labels: DataFrame
+    """(v, root): the component of every end point"""
+    roots: DataFrame
+    """(root, split)"""
+
+    @cached_property
+    def keys(self) -> DataFrame:
+        """(kind, key, root, split, now_in): each shared key, its group, the split of that, and in how many its rows stand now.
+
+        A key's rows all lie in its component: where a component stands in one split only, so do all its keys.
+        """
+        named = stage(
+            self.pair.where(F.col("key").isNotNull()).groupBy("kind", "key", "v").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+            .join(self.labels, "v").select("kind", "key", "root", "lo", "hi"), "keys")
+        spread = named.groupBy("root").agg(F.min("lo").alias("first"), F.max("hi").alias("last"))
+        apart = (F.col("first") < F.col("last")) & (F.col("lo") < F.col("hi"))
+        return join_unique(named, self.roots.join(spread, "root"), ["root"]).select(
+            "kind", "key", "root", "split", F.when(F.col("lo").isNull(), 0).when(apart, 2).otherwise(1).alias("now_in"))
 
 
 def grouped_split(df: DataFrame, id_col: str, key_col: str | list[str], ratios: dict[str, int], *, current: str | None = None,
@@ -150,14 +169,4 @@ def grouped_split(df: DataFrame, id_col: str, key_col: str | list[str], ratios:
         by_root = by_root.unionByName(df.sparkSession.createDataFrame(dealt, "root bigint, split string"))
     roots = stage(by_root, "roots")
     assignment = join_unique(item, roots, ["root"]).select("id", "root", "split")
-
-    # a key's rows all lie in its component: where a component stands in one split only, so do all its keys
-    named = stage(
-        pair.where(F.col("key").isNotNull()).groupBy("kind", "key", "v").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .join(labels, "v").select("kind", "key", "root", "lo", "hi"), "keys")
-    spread = named.groupBy("root").agg(F.min("lo").alias("first"), F.max("hi").alias("last"))
-    apart = F.col("first") < F.col("last")
-    keys = join_unique(named, roots.join(spread, "root"), ["root"]).select(
-        "kind", "key", "root", "split",
-        F.when(F.col("lo").isNull(), 0).when(apart & (F.col("lo") < F.col("hi")), 2).otherwise(1).alias("now_in"))
-    return GroupedSplit(assignment, keys, forest)
+    return GroupedSplit(assignment, forest, pair, labels, roots)

@@ -101,10 +101,23 @@ class Index:
         self.tables = []
         for h, at in _kinds(self.words, self.counts, self.lengths):
             order = np.argsort(h, kind="stable")
-            h, at = h[order], at[order].astype(np.int32)
+            self.tables.append((h[order], at[order].astype(np.int32)))
+        self._mark()
+
+    def _mark(self) -> None:
+        self.bits = []
+        for h, _ in self.tables:
             bits = np.zeros(1 << self.BITS, bool)
             bits[(textvec.mix_light(h) >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
-            self.tables.append((h, at, bits))
+            self.bits.append(bits)
+
+    def __getstate__(self) -> dict:
+        """The bit tables are made anew where the index arrives: they are far larger than a small index."""
+        return {k: v for k, v in self.__dict__.items() if k != "bits"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._mark()
 
     def scan(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Distinct rows (text, item, shift) of all hits in order; shift is word position in the batch minus that in the index.
@@ -117,7 +130,7 @@ class Index:
 
     def _scan(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
         doc, found = np.repeat(np.arange(len(counts)), counts), []
-        for (h, at, bits), (mine, starts) in zip(self.tables, seeds(words, counts, self.lengths)):
+        for (h, at), bits, (mine, starts) in zip(self.tables, self.bits, seeds(words, counts, self.lengths)):
             if not len(h):
                 continue
             maybe = np.flatnonzero(bits[(textvec.mix_light(mine) >> np.uint64(64 - self.BITS)).astype(np.int64)])

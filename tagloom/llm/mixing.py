@@ -146,7 +146,7 @@ def mix(sized: DataFrame, weights: DataFrame, *, block_units: int, total: int |
         .select("source", "rank", "turn", "id", F.greatest(block - F.col("first"), F.lit(0)).alias("start"),
                 (F.least(block + block_units, F.col("stop")) - F.col("first")).alias("stop"))
     )
-    mixed = stage(ranked.select("source", "rank", F.col("n").alias("slot")).join(parts, ["source", "rank"]).select(
+    mixed = stage(ranked.select("source", "rank", F.col("n").alias("slot")).join(parts.hint("merge"), ["source", "rank"]).select(
         "slot", "source", "turn", "id", "start", "stop"), "mix")
     reached = mixed.groupBy("source").agg(F.sum(F.col("stop") - F.col("start")).alias("reached"))
     report = offer.join(reached, "source", "left").withColumn("reached", F.coalesce("reached", F.lit(0))).select(

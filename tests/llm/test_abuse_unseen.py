@@ -5,6 +5,8 @@ import pytest
 
 from tagloom.llm import abuse
 
+# One harmless sentence of the development lists is missing here, since it is still scored as a case: "Meu gato é um
+# vagabundo de tão preguiçoso."
 ABUSIVE = (
     "Esse prefeito é um canalha e todo mundo sabe.",
     "Você é muito burra, desiste.",
@@ -164,7 +166,7 @@ HARMLESS = (
     "Os haitianos são trabalhadores.",
     "Vou fazer amor e paz o tema da redação.",
 )
-# Written before the grammar was widened for the lists above and scored once, after that; never used to change it.
+# Written and first scored when the grammar had been widened for the lists above, by its author; never used to change it.
 UNSEEN_ABUSIVE = (
     "O gerente é um crápula.",
     "Você é um inútil completo.",
